@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, line_dedup
 
 QUERIES = {
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
 ORACLES = {
+    "op6_line_dedup": line_dedup.OP6_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }
