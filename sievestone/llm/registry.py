@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup
+from . import exact_dedup, line_dedup, quality_rules
 
 QUERIES = {
+    "op7_quality_rules": quality_rules.op7_quality_rules,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
 ORACLES = {
+    "op7_quality_rules": quality_rules.OP7_SQL,
     "op6_line_dedup": line_dedup.OP6_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }
