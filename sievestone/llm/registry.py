@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, quality_rules
+from . import exact_dedup, language_id, line_dedup, quality_rules
 
 QUERIES = {
+    "op5_language_id": language_id.op5_language_id,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
