@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, license_scan, line_dedup, quality_rules
+from . import exact_dedup, language_id, license_scan, line_dedup, ngram_join, quality_rules
 
 QUERIES = {
+    "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
     "op1_license_scan": license_scan.op1_license_scan,
     "op5_language_id": language_id.op5_language_id,
     "op7_quality_rules": quality_rules.op7_quality_rules,
