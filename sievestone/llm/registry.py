@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, license_scan, line_dedup, ngram_join, quality_rules
+from . import bin_packing, exact_dedup, language_id, license_scan, line_dedup, ngram_join, quality_rules, source_mixing
 
 QUERIES = {
+    "op3_best_fit_packing": bin_packing.op3_best_fit_packing,
+    "op10_source_mixing": source_mixing.op10_source_mixing,
     "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
     "op1_license_scan": license_scan.op1_license_scan,
     "op5_language_id": language_id.op5_language_id,
@@ -14,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op10_source_mixing": source_mixing.OP10_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
     "op6_line_dedup": line_dedup.OP6_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
