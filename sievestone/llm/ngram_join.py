@@ -32,12 +32,12 @@ empty table; other columns are carried or ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import connected_components, long_array, map_rows, materialise, mix, shingle_set, text_bytes, texts
@@ -273,16 +273,20 @@ def _overlaps(threshold: int):
     return run
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, id_col: str, threshold: int = THRESHOLD, part: int = 256) -> DataFrame:
-    """Those of the distinct pairs (a, b) that link."""
+def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, id_col: str, threshold: int = THRESHOLD, part: int = 256, pick: Column | None = None) -> DataFrame:
+    """Those of the distinct pairs (a, b) that link.
+
+    nodes: (node, at), and what `pick` needs to take a node's part of the text; at is a
+    hash of a row's id and text.
+    """
     # a leader's members are salted over parts of about `part` members; the leader goes to every part
     leads = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(part)).alias("parts"))
     members = pairs.join(leads, "a").select(F.col("a").alias("lead"), F.col("b").alias("node"), F.pmod(F.xxhash64("b"), "parts").alias("part"))
     wanted = members.union(leads.select("a", "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))))
-    where = nodes.groupBy("node").agg(F.min("at").alias("at"))
+    where = nodes.groupBy("node").agg(F.min(F.struct("at", *[c for c in nodes.columns if c not in ("node", "at")])).alias("w")).select("node", "w.*")
     wanted = wanted.join(where, "node")
     d = docs.select(F.xxhash64(F.col(id_col), text_bytes(text_col)).alias("at"), text_bytes(text_col).alias("text"))
-    sent = wanted.join(d, "at").select("lead", "part", (F.col("lead") != F.col("node")).alias("member"), "node", "text")
+    sent = wanted.join(d, "at").select("lead", "part", (F.col("lead") != F.col("node")).alias("member"), "node", (F.col("text") if pick is None else pick).alias("text"))
     return sent.repartition("lead", "part").sortWithinPartitions("lead", "part", "member", "node").mapInArrow(_overlaps(threshold), "a long, b long")
 
 
@@ -295,6 +299,33 @@ def _nodes(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.record_batch([batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int64())], ["id", "at", "node", "n_shingles"])
 
 
+def linked(signed: DataFrame, check: Callable[[DataFrame], DataFrame], threshold: int, small_group: int = SMALL_GROUP) -> DataFrame:
+    """Links (a, b) among the nodes of DEALT rows; check keeps those pairs that link.
+
+    Links between nodes that others already join may be absent.
+    """
+    dealt = signed.repartition("key").sortWithinPartitions("key", "n", "x")
+    found = materialise(dealt.mapInArrow(_pairs(threshold, small_group), DEALT).drop("key"), "candidates")
+    pairs = found.where(F.col("kind") == PAIR).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = materialise(pairs, "pairs")
+    links = materialise(check(pairs), "links")
+    big = found.where(F.col("kind") == MEMBER).select(F.col("x").alias("sig"), F.col("y").alias("node"), "n").distinct()
+    if not big.limit(1).count():
+        return links
+    part = connected_components(links, "first")
+    member = big.join(part, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("part"))
+    member = materialise(member, "members")
+    split = member.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("sig")
+    open_ = materialise(member.join(split, "sig", "left_semi"), "open")
+    kinds = open_.select("sig", "part").distinct()
+    across = kinds.join(kinds.select("sig", F.col("part").alias("other")), "sig").where("part < other")
+    x = open_.select("sig", "part", F.col("node").alias("a"), F.col("n").alias("na"))
+    y = open_.select("sig", F.col("part").alias("other"), F.col("node").alias("b"), F.col("n").alias("nb"))
+    more = across.join(x, ["sig", "part"]).join(y, ["sig", "other"]).where(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
+    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    return materialise(links.union(check(materialise(more, "more"))), "all-links")
+
+
 def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: int = THRESHOLD, most_frequent: int = FREQUENT_TOKENS, small_group: int = SMALL_GROUP) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (smallest id reachable by links)."""
     spark = docs.sparkSession
@@ -305,27 +336,7 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", thresh
     nodes = materialise(nodes, "nodes")
 
     signed = docs.select(text_bytes(text_col).alias("text")).mapInArrow(_sign(sent, threshold, small_group), DEALT)
-    dealt = signed.repartition("key").sortWithinPartitions("key", "n", "x")
-    found = materialise(dealt.mapInArrow(_pairs(threshold, small_group), DEALT).drop("key"), "candidates")
-    pairs = found.where(F.col("kind") == PAIR).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pairs = materialise(pairs, "pairs")
-    links = materialise(verify(pairs, nodes, docs, text_col, id_col, threshold), "links")
-
-    big = found.where(F.col("kind") == MEMBER).select(F.col("x").alias("sig"), F.col("y").alias("node"), "n").distinct()
-    if big.limit(1).count():
-        part = connected_components(links, "first")
-        member = big.join(part, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("part"))
-        member = materialise(member, "members")
-        split = member.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("sig")
-        open_ = materialise(member.join(split, "sig", "left_semi"), "open")
-        kinds = open_.select("sig", "part").distinct()
-        across = kinds.join(kinds.select("sig", F.col("part").alias("other")), "sig").where("part < other")
-        x = open_.select("sig", "part", F.col("node").alias("a"), F.col("n").alias("na"))
-        y = open_.select("sig", F.col("part").alias("other"), F.col("node").alias("b"), F.col("n").alias("nb"))
-        more = across.join(x, ["sig", "part"]).join(y, ["sig", "other"]).where(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-        more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        more = materialise(more, "more")
-        links = materialise(links.union(verify(more, nodes, docs, text_col, id_col, threshold)), "all-links")
+    links = linked(signed, lambda pairs: verify(pairs, nodes.select("node", "at"), docs, text_col, id_col, threshold), threshold, small_group)
 
     part = connected_components(links, "last")
     placed = nodes.join(part, "node", "left").select("id", "n_shingles", F.coalesce("component", "node").alias("part"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bin_packing, chat_format, exact_dedup, language_id, license_scan, line_dedup, ngram_join, quality_rules, source_mixing
+from . import bin_packing, chat_format, exact_dedup, language_id, license_scan, line_dedup, ngram_join, quality_rules, source_mixing, substring_dedup
 
 QUERIES = {
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op9_chat_formatting": chat_format.op9_chat_formatting,
     "op3_best_fit_packing": bin_packing.op3_best_fit_packing,
     "op10_source_mixing": source_mixing.op10_source_mixing,
