@@ -119,6 +119,13 @@ def accepted(least_margin: float = LEAST_MARGIN) -> Column:
     return (F.col("lang_pred") != "und") & (F.col("score") >= least_margin)
 
 
+def accept(docs: DataFrame, learned: list[tuple[str, bytes]], text_col: str = "text", least_margin: float = LEAST_MARGIN) -> DataFrame:
+    """The rows of docs that are not rejected, with their columns, whatever their names."""
+    own = {c: f"_own{i}" for i, c in enumerate(docs.columns)}
+    found = identify(docs.withColumnsRenamed(own), learned, own[text_col])
+    return found.where(accepted(least_margin)).drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in own.items()})
+
+
 def training_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return docs.where(fold(id_col) != HELD_OUT)
 
