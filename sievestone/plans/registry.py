@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import corpus, retrieval, vectors  # noqa: F401
+from ._base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
