@@ -12,7 +12,7 @@ def html_links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
         F.regexp_extract_all(html_col, F.lit(r'<a href="([^"]*)"[^>]*>([^<]*)</a>'), 1).alias("target"), F.regexp_extract_all(html_col, F.lit(r'<a href="([^"]*)"[^>]*>([^<]*)</a>'), 2).alias("label")
     )
     x = pages.select(F.col(id_col), F.posexplode(both).alias("position", "x"))
-    return x.select(id_col, F.col("position").cast("long").alias("position"), F.col("x.0").alias("target"), F.col("x.1").alias("label"))
+    return x.select(id_col, F.col("position").cast("long").alias("position"), F.col("x.target").alias("target"), F.col("x.label").alias("label"))
 
 
 def resolve_redirects(redirects: DataFrame, canonical: DataFrame, most_hops: int = 16) -> DataFrame:
