@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import cut
+
 
 def html_links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(page, position, target, label) of every link, in order."""
@@ -75,7 +77,7 @@ def components(edges: DataFrame, nodes: DataFrame, node: str = "node", rounds: i
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("low"))
         new = labels.join(near, F.col("node") == F.col("a"), "left").select("node", F.least("label", F.coalesce("low", "label")).alias("new"), "label")
         jump = new.select(F.col("node").alias("at"), F.col("new").alias("far"))
-        new = new.join(jump, F.col("new") == F.col("at"), "left").select("node", F.least("new", F.coalesce("far", "new")).alias("new"), "label").checkpoint()
+        new = cut(new.join(jump, F.col("new") == F.col("at"), "left").select("node", F.least("new", F.coalesce("far", "new")).alias("new"), "label"))
         labels = new.select("node", F.col("new").alias("label"))
         if not new.where("new <> label").limit(1).count():
             break
@@ -87,7 +89,7 @@ def topological_depth(edges: DataFrame, nodes: DataFrame, most_depth: int = 64)
     out, depth = nodes.select("node", F.lit(0).cast("long").alias("depth")), 0
     edge = nodes.select("node")
     while depth <= most_depth:
-        edge = edges.join(edge.withColumnRenamed("node", "parent"), "parent", "left_semi").select(F.col("child").alias("node")).distinct().checkpoint()
+        edge = cut(edges.join(edge.withColumnRenamed("node", "parent"), "parent", "left_semi").select(F.col("child").alias("node")).distinct())
         if not edge.limit(1).count():
             return out.groupBy("node").agg(F.max("depth").alias("depth"))
         depth += 1

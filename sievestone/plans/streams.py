@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators.storage import shared_dir
 from ..streaming import events as S
 from ._base import ORACLES, QUERIES
 
 
 def _folder(spark) -> str:
     """A new folder that executors share; a local one only where no checkpoint folder is named."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="sievestone-")
-    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def stream_novel_routes(spark, sf_dir):
