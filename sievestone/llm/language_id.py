@@ -79,9 +79,9 @@ class Classifier:
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         """The language and its margin."""
-        raw = letters(text or "")
-        if not self.languages or not raw.strip():
+        if not text or not self.languages or not any(map(str.isalpha, text)):
             return "und", 0.0
+        raw = letters(text)
         sizes = [0] * len(self.languages)
         for at in range(0, len(raw), BLOCK):
             block = raw[at : at + BLOCK]
