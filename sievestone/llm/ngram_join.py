@@ -14,15 +14,17 @@ Rare tokens are indexed singly, frequent ones as pairs within a class. The numbe
 classes follows the set's size in steps of two; sets at the lower edge of a step are
 indexed for the step below too, so that partners always meet in one step.
 
-Groups. Nodes are dealt by signature and streamed. Up to `small_group` nodes of a
-signature are paired at once. In a larger group every node is paired with the current
-leader only (a new one when sizes no longer fit) and remembered; after verification, the
-pairs of a larger group that are still in different components are paired too, so no
-link that joins components is lost, and a group of thousands of near copies costs one
-pair per member.
-
-Verification reads the texts of paired nodes again, sends each to its leaders, and counts
-the exact intersection. Components come from distributed star rounds.
+Groups. Nodes are dealt by signature and streamed, those with the smallest share of rare
+tokens first: what is common to near copies leads them. Up to `small_group` nodes of a
+signature are paired at once. In a larger group every node is paired with the first leader
+whose size fits (or leads itself) and is remembered. After verification, members of a
+larger group that are still in different components are compared too, by bitmaps, in
+blocks; what these don't rule out is verified. So no link that joins components is lost,
+and a group of thousands of near copies costs one pair per member.
+
+Verification first compares bitmaps of the sets, which rule out pairs without ever ruling
+out a link, then reads the remaining nodes' texts again, sends each to its leaders, and
+counts the exact intersection. Components come from distributed star rounds.
 
 Defined results: null and empty text, or text of white space alone, has an empty set and
 links with nothing; rows of equal sets form one component; a null id is never a smallest
@@ -40,52 +42,111 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import connected_components, long_array, map_rows, materialise, mix, shingle_set, text_bytes, texts
+from ._common import connected_components, long_array, materialise, mix, shingle_set, text_bytes, texts
 
 THRESHOLD = 80
 #: Bound of the broadcast frequent tokens; a batch reports tokens of at least so many texts.
 FREQUENT_TOKENS, LEAST_IN_BATCH = 1 << 18, 8
 SMALL_GROUP = 8
-#: Frequent tokens that a class has in a prefix, about.
-PER_CLASS = 4
+#: Rows of (leader, member) up to which they are broadcast to the texts; more are shuffled.
+BROADCAST_ROWS = 400_000
+#: Tokens of a set for each of its classes of frequent tokens.
+CLASS_TOKENS = 5
+#: Members of a block when the open members of a larger group are compared.
+BLOCK = 512
+#: Pairs of a member that are verified before all open pairs are.
+FEW = 16
 
 
 def least_overlap(n: int, threshold: int = THRESHOLD) -> int:
     return -(-threshold * n // 100)
 
 
+def nodes_of(tokens: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit digests of the sets that lie one after the other in tokens; none is empty."""
+    if not len(starts):
+        return np.empty(0, dtype=np.uint64)
+    spread = np.bitwise_xor.reduceat(mix(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)), starts)
+    return mix(spread + sizes.astype(np.uint64) + np.add.reduceat(tokens, starts) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def node_of(tokens: np.ndarray) -> np.uint64:
-    """64-bit digest of a sorted set."""
-    spread = np.bitwise_xor.reduce(mix(tokens ^ np.uint64(0xA5A5A5A5A5A5A5A5)), keepdims=True)
-    return mix(spread + np.uint64(len(tokens)) + np.add.reduce(tokens, keepdims=True) * np.uint64(0x9E3779B97F4A7C15))[0]
+    return nodes_of(tokens, np.zeros(1, dtype=np.int64), np.array([len(tokens)]))[0]
+
+
+def bitmap(tokens: np.ndarray) -> bytes:
+    """A bit for every token, in the power of two of bits that is at least twice their number."""
+    size = 1 << max(6, (2 * len(tokens) - 1).bit_length())
+    bits = np.zeros(size, dtype=bool)
+    bits[(tokens & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _folded(bits: bytes, size: int) -> int:
+    out, have = int.from_bytes(bits, "little"), 8 * len(bits)
+    while have > size:
+        have //= 2
+        out = (out >> have) | (out & ((1 << have) - 1))
+    return out
+
 
+def may_link(x: bytes, n: int, y: bytes, m: int, threshold: int = THRESHOLD) -> bool:
+    """False only if two sets, by their bitmaps and sizes, can't link: a bit that one lacks is a token that it lacks."""
+    size = 8 * min(len(x), len(y))
+    a, b = _folded(x, size), _folded(y, size)
+    most = min(n - (a & ~b).bit_count(), m - (b & ~a).bit_count())
+    return 100 * most >= threshold * (n + m - most)
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens of at least LEAST_IN_BATCH different sets of a batch, with their number."""
+
+DOCUMENT, TOKEN = 0, 1
+
+
+def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for every text: its node, size and bitmap; and one for every token of LEAST_IN_BATCH different sets of a batch."""
+    names = ["kind", "id", "at", "node", "n", "bits", "token", "seen"]
     for batch in batches:
-        sets = {}
-        for text in texts(batch.column(0)):
+        sets, node, size, bits = {}, [], [], []
+        for text in texts(batch.column(2)):
             tokens = shingle_set(text)
-            if len(tokens):
-                sets[int(node_of(tokens))] = tokens
+            size.append(len(tokens))
+            if not len(tokens):
+                node.append(None)
+                bits.append(None)
+                continue
+            x = node_of(tokens)
+            node.append(int(x.view(np.int64)))
+            bits.append(bitmap(tokens))
+            sets[node[-1]] = tokens
+        k = len(size)
+        none = pa.nulls(k, pa.int64())
+        yield pa.record_batch([pa.array(np.full(k, DOCUMENT, dtype=np.int8)), batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(bits, pa.binary()), none, none], names)
         if not sets:
             continue
-        token, n = np.unique(np.concatenate(list(sets.values())), return_counts=True)
-        much = n >= LEAST_IN_BATCH
-        yield pa.record_batch([long_array(token[much]), pa.array(n[much], pa.int64())], ["token", "n"])
+        token, times = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+        much = times >= LEAST_IN_BATCH
+        k = int(much.sum())
+        none = pa.nulls(k, pa.int64())
+        yield pa.record_batch([pa.array(np.full(k, TOKEN, dtype=np.int8)), pa.nulls(k, batch.column(0).type), none, none, none, pa.nulls(k, pa.binary()), long_array(token[much]), pa.array(times[much], pa.int64())], names)
 
 
-def frequent_tokens(docs: DataFrame, text_col: str, most: int = FREQUENT_TOKENS) -> tuple[np.ndarray, np.ndarray]:
+def frequent_tokens(survey: DataFrame, most: int = FREQUENT_TOKENS) -> tuple[np.ndarray, np.ndarray]:
     """(tokens, places in the order of counts), tokens sorted; never more than `most`."""
-    seen = docs.select(text_bytes(text_col).alias("text")).mapInArrow(_count, "token long, n long")
-    top = seen.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(most).toArrow()
+    top = survey.where(F.col("kind") == TOKEN).groupBy("token").agg(F.sum("seen").alias("n")).orderBy(F.desc("n"), "token").limit(most).toArrow()
     tokens = top["token"].to_numpy().view(np.uint64)
     rank = np.arange(len(tokens), 0, -1, dtype=np.int64)
     by = np.argsort(tokens)
     return tokens[by], rank[by]
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray, threshold: int = THRESHOLD, per_class: int = PER_CLASS) -> np.ndarray:
+def rare_share(tokens: np.ndarray, frequent: np.ndarray) -> int:
+    """Hundredths of the tokens that are not frequent: near copies' common core has few of them."""
+    if not len(frequent):
+        return 100
+    at = np.searchsorted(frequent, tokens).clip(max=len(frequent) - 1)
+    return int(100 * (frequent[at] != tokens).mean())
+
+
+def signatures(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray, threshold: int = THRESHOLD, class_tokens: int = CLASS_TOKENS) -> np.ndarray:
     """The set's distinct signatures; none if only an equal set can link with it."""
     n = len(tokens)
     missing = n - least_overlap(n, threshold)
@@ -106,7 +167,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray, thres
     step = n.bit_length() - 1
     steps = [step] if threshold * n > 100 * (1 << step) or not step else [step, step - 1]
     for s in steps:
-        classes = max(1, (1 << s) // (5 * per_class))
+        classes = max(1, (1 << s) // class_tokens)
         of = mix(common + np.uint64(s)) % np.uint64(classes)
         worth, held = len(rare), {}
         for token, c in zip(common.tolist(), of.tolist(), strict=True):
@@ -126,16 +187,25 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray, thres
 
 #: Rows that are dealt out: a signature's node; the same of a node that leads others of its batch; a pair; a member of a larger group.
 NODE, LEADER, PAIR, MEMBER = range(4)
-DEALT = "key long, kind byte, x long, y long, n int"
+DEALT = "key long, kind byte, x long, y long, n int, q int"
 
 
 def fits(low: int, high: int, threshold: int) -> bool:
     return 100 * low >= threshold * high
 
 
-def _rows(key, kind: int, x, y, n) -> pa.RecordBatch:
+def _rows(key, kind: int, x, y, n, q=None) -> pa.RecordBatch:
     key, x, y = (np.asarray(v).astype(np.uint64, copy=False) for v in (key, x, y))
-    return pa.record_batch([long_array(key), pa.array(np.full(len(key), kind, dtype=np.int8)), long_array(x), long_array(y), pa.array(np.asarray(n, dtype=np.int32))], ["key", "kind", "x", "y", "n"])
+    q = np.zeros(len(key)) if q is None else q
+    return pa.record_batch([long_array(key), pa.array(np.full(len(key), kind, dtype=np.int8)), long_array(x), long_array(y), pa.array(np.asarray(n, dtype=np.int32)), pa.array(np.asarray(q, dtype=np.int32))], ["key", "kind", "x", "y", "n", "q"])
+
+
+def _leader(leaders: list[tuple[int, int]], n: int, threshold: int) -> int | None:
+    """The first leader (node, size) whose size fits."""
+    for x, m in leaders:
+        if fits(min(m, n), max(m, n), threshold):
+            return x
+    return None
 
 
 def _sign(sent, threshold: int, small_group: int):
@@ -143,7 +213,7 @@ def _sign(sent, threshold: int, small_group: int):
         frequent, rank = sent.value
         done: set[int] = set()
         for batch in batches:
-            sig, node, size = [], [], []
+            sig, node, size, rare = [], [], [], []
             for text in texts(batch.column(0)):
                 tokens = shingle_set(text)
                 if not len(tokens) or (x := int(node_of(tokens))) in done:
@@ -153,91 +223,96 @@ def _sign(sent, threshold: int, small_group: int):
                 sig.append(own)
                 node.append(np.full(len(own), x, dtype=np.uint64))
                 size.append(np.full(len(own), len(tokens), dtype=np.int32))
+                rare.append(np.full(len(own), rare_share(tokens, frequent), dtype=np.int32))
             if not sig:
                 continue
-            sig, node, size = np.concatenate(sig), np.concatenate(node), np.concatenate(size)
+            sig, node, size, rare = map(np.concatenate, (sig, node, size, rare))
             _, where, times = np.unique(sig, return_inverse=True, return_counts=True)
             crowded = times[where] > small_group
-            yield _rows(sig[~crowded], NODE, node[~crowded], np.zeros((~crowded).sum()), size[~crowded])
+            yield _rows(sig[~crowded], NODE, node[~crowded], np.zeros((~crowded).sum()), size[~crowded], rare[~crowded])
             if not crowded.any():
                 continue
             # a signature that many of a batch share: members meet their leader here, only leaders go on
-            s_, x_, n_ = sig[crowded], node[crowded], size[crowded]
-            by = np.lexsort((x_, n_, s_))
-            s_, x_, n_ = s_[by], x_[by], n_[by]
-            yield _rows(mix(s_ ^ mix(x_)), MEMBER, s_, x_, n_)
-            lead = np.zeros(len(s_), dtype=np.int64)
-            at = 0
-            for i, (s, n) in enumerate(zip(s_.tolist(), n_.tolist(), strict=True)):
-                if s != s_[at] or not fits(int(n_[at]), n, threshold):
-                    at = i
-                lead[i] = at
-            first = lead == np.arange(len(lead))
-            yield _rows(s_[first], LEADER, x_[first], np.zeros(first.sum()), n_[first])
-            a, b = x_[lead[~first]], x_[~first]
-            pairs = np.unique(np.stack([a, b], axis=1), axis=0)
-            yield _rows(mix(pairs[:, 0] ^ mix(pairs[:, 1])), PAIR, pairs[:, 0], pairs[:, 1], np.zeros(len(pairs)))
+            s_, x_, n_, q_ = sig[crowded], node[crowded], size[crowded], rare[crowded]
+            by = np.lexsort((x_, n_, q_, s_))
+            s_, x_, n_, q_ = s_[by], x_[by], n_[by], q_[by]
+            yield _rows(mix(s_ ^ mix(x_)), MEMBER, s_, x_, n_, q_)
+            first, pairs, at, leaders = np.zeros(len(s_), dtype=bool), set(), None, []
+            for i, (s, x, n) in enumerate(zip(s_.tolist(), x_.tolist(), n_.tolist(), strict=True)):
+                if s != at:
+                    at, leaders = s, []
+                lead = _leader(leaders, n, threshold)
+                if lead is None:
+                    leaders.append((x, n))
+                    first[i] = True
+                else:
+                    pairs.add((lead, x))
+            yield _rows(s_[first], LEADER, x_[first], np.zeros(first.sum()), n_[first], q_[first])
+            a, b = (np.array([p[k] for p in pairs], dtype=np.uint64) for k in (0, 1))
+            yield _rows(mix(a ^ mix(b)), PAIR, a, b, np.zeros(len(a)))
 
     return run
 
 
 def _pairs(threshold: int, small_group: int):
-    """Stream DEALT rows, sorted by key, n, x: PAIR and MEMBER rows."""
+    """Stream DEALT rows, sorted by key, q, n, x: PAIR and MEMBER rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, group, leader, last, led = None, [], None, None, False
+        sig, group, leaders, last, led = None, [], [], None, False
         a, b, member = [], [], []
 
         def close() -> None:
-            if led and leader is None:
-                member.extend((sig, x, n) for x, n in group)
+            if led and not leaders:
+                member.extend((sig, *row) for row in group)
 
         def flush() -> Iterator[pa.RecordBatch]:
+            longs = lambda values: np.array(values, dtype=np.int64).view(np.uint64)
             if a:
-                x, y = np.array(a, dtype=np.int64).view(np.uint64), np.array(b, dtype=np.int64).view(np.uint64)
-                yield _rows(np.zeros(len(x)), PAIR, x, y, np.zeros(len(x)))
+                yield _rows(np.zeros(len(a)), PAIR, longs(a), longs(b), np.zeros(len(a)))
             if member:
-                x, y = (np.array([m[k] for m in member], dtype=np.int64).view(np.uint64) for k in (0, 1))
-                yield _rows(np.zeros(len(x)), MEMBER, x, y, [m[2] for m in member])
-            a.clear()
-            b.clear()
-            member.clear()
+                s, x, n, q = zip(*member, strict=True)
+                yield _rows(np.zeros(len(s)), MEMBER, longs(s), longs(x), n, q)
+            for kept in (a, b, member):
+                kept.clear()
 
         for batch in batches:
-            k_, t_, x_, n_ = (batch.column(k).to_numpy() for k in (0, 1, 2, 4))
+            k_, t_, x_, n_, q_ = (batch.column(k).to_numpy() for k in (0, 1, 2, 4, 5))
             through = t_ >= PAIR
             if through.any():
                 yield batch.filter(pa.array(through))
-            k_, t_, x_, n_ = k_[~through], t_[~through], x_[~through], n_[~through]
+            k_, t_, x_, n_, q_ = (v[~through] for v in (k_, t_, x_, n_, q_))
             if not len(k_):
                 continue
             # in the middle of a batch, a signature of one plain row pairs nothing
             keep = np.ones(len(k_), dtype=bool)
             keep[1:-1] = (k_[1:-1] == k_[:-2]) | (k_[1:-1] == k_[2:]) | (t_[1:-1] == LEADER)
-            for s, t, x, n in zip(k_[keep].tolist(), t_[keep].tolist(), x_[keep].tolist(), n_[keep].tolist(), strict=True):
+            for s, t, x, n, q in zip(*(v[keep].tolist() for v in (k_, t_, x_, n_, q_)), strict=True):
                 if s != sig:
                     close()
-                    sig, group, leader, last, led = s, [], None, None, False
+                    sig, group, leaders, last, led = s, [], [], None, False
                 led = led or t == LEADER
                 if x == last:
                     continue
                 last = x
-                if leader is None and len(group) < small_group:
-                    for y, m in group:
-                        if fits(m, n, threshold):
+                if not leaders and len(group) < small_group:
+                    for y, m, _ in group:
+                        if fits(min(m, n), max(m, n), threshold):
                             a.append(y)
                             b.append(x)
-                    group.append((x, n))
+                    group.append((x, n, q))
                     continue
-                if leader is None:
-                    leader = group[0]
-                    member.extend((s, y, m) for y, m in group)
-                if fits(leader[1], n, threshold):
-                    a.append(leader[0])
-                    b.append(x)
+                if not leaders:
+                    for y, m, r in group:
+                        if _leader(leaders, m, threshold) is None:
+                            leaders.append((y, m))
+                        member.append((s, y, m, r))
+                lead = _leader(leaders, n, threshold)
+                if lead is None:
+                    leaders.append((x, n))
                 else:
-                    leader = (x, n)
-                member.append((s, x, n))
+                    a.append(lead)
+                    b.append(x)
+                member.append((s, x, n, q))
             yield from flush()
         close()
         yield from flush()
@@ -284,62 +359,146 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, i
     members = pairs.join(leads, "a").select(F.col("a").alias("lead"), F.col("b").alias("node"), F.pmod(F.xxhash64("b"), "parts").alias("part"))
     wanted = members.union(leads.select("a", "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))))
     where = nodes.groupBy("node").agg(F.min(F.struct("at", *[c for c in nodes.columns if c not in ("node", "at")])).alias("w")).select("node", "w.*")
-    wanted = wanted.join(where, "node")
+    wanted = materialise(wanted.join(where, "node"), "wanted")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     d = docs.select(F.xxhash64(F.col(id_col), text_bytes(text_col)).alias("at"), text_bytes(text_col).alias("text"))
     sent = wanted.join(d, "at").select("lead", "part", (F.col("lead") != F.col("node")).alias("member"), "node", (F.col("text") if pick is None else pick).alias("text"))
     return sent.repartition("lead", "part").sortWithinPartitions("lead", "part", "member", "node").mapInArrow(_overlaps(threshold), "a long, b long")
 
 
-def _nodes(batch: pa.RecordBatch) -> pa.RecordBatch:
-    node, size = [], []
-    for text in texts(batch.column(2)):
-        tokens = shingle_set(text)
-        size.append(len(tokens))
-        node.append(int(node_of(tokens).view(np.int64)) if len(tokens) else None)
-    return pa.record_batch([batch.column(0), batch.column(1), pa.array(node, pa.int64()), pa.array(size, pa.int64())], ["id", "at", "node", "n_shingles"])
+def possible(pairs: DataFrame, nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps of nodes (node, n, bits) don't rule out."""
+    one = nodes.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+
+    def test(x: pa.Array, n: pa.Array, y: pa.Array, m: pa.Array) -> pa.Array:
+        return pa.array([may_link(*v, threshold) for v in zip(x.to_pylist(), n.to_pylist(), y.to_pylist(), m.to_pylist(), strict=True)], pa.bool_())
+
+    x = one.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("bits").alias("x"))
+    y = one.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y"))
+    return pairs.join(x, "a").join(y, "b").where(F.arrow_udf(test, "boolean")("x", "n", "y", "m")).select("a", "b")
+
+
+def _matrix(bits: list[bytes], size: int) -> np.ndarray:
+    """The bitmaps as rows of `size` bits, larger ones folded."""
+    out = [np.frombuffer(x, dtype=np.uint64) for x in bits]
+    while any(8 * x.nbytes > size for x in out):
+        out = [x if 8 * x.nbytes <= size else x[: len(x) // 2] | x[len(x) // 2 :] for x in out]
+    return np.stack(out)
+
+
+def _block_pairs(rows: list[tuple], threshold: int, most: int | None) -> set[tuple[int, int]]:
+    """Pairs of one block or two, (node, n, part, bits, block), of different parts, that sizes and bitmaps don't rule out; of each row at most so many, by hash."""
+    out: set[tuple[int, int]] = set()
+    sizes = sorted({len(r[3]) for r in rows})
+    for size in sizes:
+        own = [r for r in rows if len(r[3]) == size]
+        both = own + [r for r in rows if len(r[3]) == 2 * size]
+        x, y = _matrix([r[3] for r in own], 8 * size), _matrix([r[3] for r in both], 8 * size)
+        n, m = (np.array([r[1] for r in side]) for side in (own, both))
+        p, q = (np.array([r[2] for r in side]) for side in (own, both))
+        split = len({r[4] for r in rows}) > 1
+        ids = np.array([r[0] for r in both], dtype=np.int64).view(np.uint64)
+        c, d = (np.array([r[4] for r in side]) for side in (own, both))
+        for i in range(len(own)):
+            may = (p[i] != q) & (100 * np.minimum(n[i], m) >= threshold * np.maximum(n[i], m))
+            may[: i + 1] = False  # those of the same size class come first and in the same order
+            if split:
+                may &= c[i] != d
+            at = np.flatnonzero(may)
+            if not len(at):
+                continue
+            shared = np.minimum(n[i] - np.bitwise_count(x[i] & ~y[at]).sum(axis=1, dtype=np.int64), m[at] - np.bitwise_count(y[at] & ~x[i]).sum(axis=1, dtype=np.int64))
+            at = at[100 * shared >= threshold * (n[i] + m[at] - shared)]
+            if most is not None and len(at) > most:
+                at = at[np.argpartition(mix(ids[at] ^ mix(ids[i : i + 1])), most)[:most]]
+            for j in at:
+                out.add((min(own[i][0], both[j][0]), max(own[i][0], both[j][0])))
+    return out
 
 
-def linked(signed: DataFrame, check: Callable[[DataFrame], DataFrame], threshold: int, small_group: int = SMALL_GROUP) -> DataFrame:
-    """Links (a, b) among the nodes of DEALT rows; check keeps those pairs that link.
+def _compare(threshold: int, most: int | None):
+    """Stream (sig, lo, hi, node, n, part, bits, block), sorted by the first three: pairs (a, b). A group has two blocks at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        made: set[tuple[int, int]] = set()
+        for batch in batches:
+            for s, lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (s, lo, hi) != key:
+                    made |= _block_pairs(rows, threshold, most) if len(rows) > 1 else set()
+                    key, rows = (s, lo, hi), []
+                rows.append(tuple(row))
+            a, b = ([x[k] for x in made] for k in (0, 1))
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            made = set()
+        made = _block_pairs(rows, threshold, most) if len(rows) > 1 else set()
+        yield pa.record_batch([pa.array([x[k] for x in made], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def across(members: DataFrame, nodes: DataFrame, threshold: int, most: int | None, block: int = BLOCK) -> DataFrame:
+    """Likely pairs (a, b) of different parts among members (sig, node, n, part) of a signature, in blocks.
+
+    A signature of up to `block` members is one group; one of more has every two of its
+    blocks compared, each such pair of blocks a group of its own.
+    """
+    bits = nodes.groupBy("node").agg(F.first("bits").alias("bits"))
+    count = members.groupBy("sig").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
+    m = members.join(bits, "node").join(count, "sig").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
+    m = m.select("sig", "lo", "hi", "node", "n", "part", "bits", "block").repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi", "node")
+    return m.mapInArrow(_compare(threshold, most), "a long, b long").distinct()
+
+
+def linked(signed: DataFrame, nodes: DataFrame, check: Callable[[DataFrame], DataFrame], threshold: int, small_group: int = SMALL_GROUP) -> DataFrame:
+    """Links (a, b) among the nodes (node, n, bits) of DEALT rows; check keeps those pairs that link.
 
     Links between nodes that others already join may be absent.
     """
-    dealt = signed.repartition("key").sortWithinPartitions("key", "n", "x")
+    dealt = signed.repartition("key").sortWithinPartitions("key", "q", "n", "x")
     found = materialise(dealt.mapInArrow(_pairs(threshold, small_group), DEALT).drop("key"), "candidates")
     pairs = found.where(F.col("kind") == PAIR).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     pairs = materialise(pairs, "pairs")
-    links = materialise(check(pairs), "links")
+    links = materialise(check(materialise(possible(pairs, nodes, threshold), "likely")), "links")
     big = found.where(F.col("kind") == MEMBER).select(F.col("x").alias("sig"), F.col("y").alias("node"), "n").distinct()
     if not big.limit(1).count():
         return links
-    part = connected_components(links, "first")
-    member = big.join(part, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("part"))
-    member = materialise(member, "members")
-    split = member.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("sig")
-    open_ = materialise(member.join(split, "sig", "left_semi"), "open")
-    kinds = open_.select("sig", "part").distinct()
-    across = kinds.join(kinds.select("sig", F.col("part").alias("other")), "sig").where("part < other")
-    x = open_.select("sig", "part", F.col("node").alias("a"), F.col("n").alias("na"))
-    y = open_.select("sig", F.col("part").alias("other"), F.col("node").alias("b"), F.col("n").alias("nb"))
-    more = across.join(x, ["sig", "part"]).join(y, ["sig", "other"]).where(100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    return materialise(links.union(check(materialise(more, "more"))), "all-links")
+    # first a few pairs of each member, which join most of what belongs together, then all that are still open
+    for most in (FEW, None):
+        part = connected_components(links, "parts")
+        member = big.join(part, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("part"))
+        member = materialise(member, "members")
+        # near copies share many signatures: groups are merged by their smallest node, so that each pair is compared once, not once a signature
+        split = member.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("node").alias("lead")).where("lo <> hi")
+        open_ = member.join(split.select("sig", "lead"), "sig").select(F.col("lead").alias("sig"), "node", "n", "part").distinct()
+        more = across(materialise(open_, "open"), nodes, threshold, most).join(pairs, ["a", "b"], "left_anti")
+        more = materialise(more, "more")
+        if not more.limit(1).count():
+            break
+        pairs = pairs.union(more)
+        links = materialise(links.union(check(more)), "all-links")
+    return links
 
 
 def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: int = THRESHOLD, most_frequent: int = FREQUENT_TOKENS, small_group: int = SMALL_GROUP) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (smallest id reachable by links)."""
     spark = docs.sparkSession
-    frequent, rank = frequent_tokens(docs, text_col, most_frequent)
-    sent = spark.sparkContext.broadcast((frequent, rank))
     kind = docs.schema[id_col].dataType.simpleString()
-    nodes = map_rows(docs, [F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text_bytes(text_col)).alias("at"), text_bytes(text_col).alias("text")], _nodes, f"id {kind}, at long, node long, n_shingles long")
-    nodes = materialise(nodes, "nodes")
+    survey = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text_bytes(text_col)).alias("at"), text_bytes(text_col).alias("text"))
+    survey = materialise(survey.mapInArrow(_survey, f"kind byte, id {kind}, at long, node long, n long, bits binary, token long, seen long"), "survey")
+    nodes = survey.where(F.col("kind") == DOCUMENT)
+    sent = spark.sparkContext.broadcast(frequent_tokens(survey, most_frequent))
+
+    def check(pairs: DataFrame) -> DataFrame:
+        return verify(pairs, nodes.select("node", "at"), docs, text_col, id_col, threshold)
 
     signed = docs.select(text_bytes(text_col).alias("text")).mapInArrow(_sign(sent, threshold, small_group), DEALT)
-    links = linked(signed, lambda pairs: verify(pairs, nodes.select("node", "at"), docs, text_col, id_col, threshold), threshold, small_group)
+    links = linked(signed, nodes.where("node is not null").select("node", "n", "bits"), check, threshold, small_group)
 
     part = connected_components(links, "last")
-    placed = nodes.join(part, "node", "left").select("id", "n_shingles", F.coalesce("component", "node").alias("part"))
+    placed = nodes.join(part, "node", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("part"))
     placed = materialise(placed, "placed")
     least = placed.where("part is not null").groupBy("part").agg(F.min("id").alias("component_id"))
     some = placed.where("part is not null").join(least, "part").select("id", "n_shingles", "component_id")
