@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import FOLD, connected_components, long_array, map_rows, materialise, mix, shingle_sequence, text_bytes, texts, word_hashes
-from .ngram_join import DEALT, NODE, linked, node_of, verify
+from ._common import FOLD, SHINGLE_WORDS, connected_components, long_array, map_rows, materialise, mix, shingle_sequence, text_bytes, texts, word_hashes
+from .ngram_join import DEALT, NODE, bitmap, linked, nodes_of, verify
 
 LEAST_WORDS, BANDS, ROWS_PER_BAND, THRESHOLD = 25, 6, 3, 80
 
@@ -68,30 +68,33 @@ def _lines(least_words: int, bands: int, rows_per_band: int):
     seeds = mix(np.arange(1, bands * rows_per_band + 1, dtype=np.uint64))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, line, first, words, node, size, band = [], [], [], [], [], [], []
+        row, line, first, words, sets, bits = [], [], [], [], [], []
         for r, text in enumerate(texts(batch.column(2))):
-            done = 0
-            for i, part in enumerate(text.translate(FOLD).split(b"\n")):
-                own = part.split()
-                if len(own) >= least_words:
-                    tokens = np.unique(shingle_sequence(word_hashes(own)))
-                    least = np.array([mix(tokens ^ s).min() for s in seeds], dtype=np.uint64).reshape(bands, rows_per_band)
-                    acc = np.arange(bands, dtype=np.uint64)
-                    for k in range(rows_per_band):
-                        acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + least[:, k])
+            sizes = [len(part.split()) for part in text.split(b"\n")]
+            if max(sizes) < least_words:
+                continue
+            shingles, done = shingle_sequence(word_hashes(text.translate(FOLD).split())), 0
+            for i, n in enumerate(sizes):
+                if n >= least_words:
                     row.append(r)
                     line.append(i)
                     first.append(done)
-                    words.append(len(own))
-                    node.append(node_of(tokens))
-                    size.append(len(tokens))
-                    band.append(acc)
-                done += len(own)
+                    words.append(n)
+                    sets.append(np.unique(shingles[done : done + n - SHINGLE_WORDS + 1]))
+                    bits.append(bitmap(sets[-1]))
+                done += n
+        size = np.array([len(x) for x in sets], dtype=np.int64)
+        tokens, starts = np.concatenate(sets or [np.empty(0, dtype=np.uint64)]), np.cumsum(size) - size
+        node = nodes_of(tokens, starts, size)
+        band = np.tile(np.arange(bands, dtype=np.uint64), (len(sets), 1))
+        for k, seed in enumerate(seeds if sets else ()):
+            least = np.minimum.reduceat(mix(tokens ^ seed), starts)
+            band[:, k // rows_per_band] = mix(band[:, k // rows_per_band] * np.uint64(0x9E3779B97F4A7C15) + least)
         pick = pa.array(row, pa.int64())
-        flat = long_array(np.concatenate(band)) if band else pa.array([], pa.int64())
+        flat = long_array(band.reshape(-1))
         return pa.record_batch(
-            [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(line, pa.int32()), pa.array(first, pa.int32()), pa.array(words, pa.int32()), long_array(np.array(node, dtype=np.uint64)), pa.array(size, pa.int32()), pa.ListArray.from_arrays(pa.array(range(0, bands * len(row) + 1, bands), pa.int32()), flat)],
-            ["id", "at", "line", "first", "words", "node", "n", "bands"],
+            [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(line, pa.int32()), pa.array(first, pa.int32()), pa.array(words, pa.int32()), long_array(node), pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(pa.array(range(0, bands * len(row) + 1, bands), pa.int32()), flat), pa.array(bits, pa.binary())],
+            ["id", "at", "line", "first", "words", "node", "n", "bands", "bits"],
         )
 
     return work
@@ -127,15 +130,16 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     """One row per repeated span: id, at (hash of id and text), first_word, end_word, kept_in (smallest id of a copy), removed."""
     at = F.xxhash64(F.col(id_col), text_bytes(text_col)).alias("at")
     base = [F.col(id_col).cast("long").alias("id"), at, text_bytes(text_col).alias("text")]
-    windows = map_rows(docs, base, _windows(least_words), "id long, at long, key long, first int").withColumn("words", F.lit(least_words))
+    windows = map_rows(docs, base, _windows(least_words), "id long, at long, key long, first int")
+    windows = materialise(windows, "windows").withColumn("words", F.lit(least_words))
 
-    lines = map_rows(docs, base, _lines(least_words, bands, rows_per_band), "id long, at long, line int, first int, words int, node long, n int, bands array<long>")
+    lines = map_rows(docs, base, _lines(least_words, bands, rows_per_band), "id long, at long, line int, first int, words int, node long, n int, bands array<long>, bits binary")
     lines = materialise(lines, "long-lines")
-    signed = lines.select(F.explode("bands").alias("key"), F.col("node").alias("x"), "n").distinct().select("key", F.lit(NODE).cast("byte").alias("kind"), "x", F.lit(0).cast("long").alias("y"), "n")
+    signed = lines.select(F.explode("bands").alias("key"), F.col("node").alias("x"), "n").distinct().select("key", F.lit(NODE).cast("byte").alias("kind"), "x", F.lit(0).cast("long").alias("y"), "n", F.lit(0).alias("q"))
     assert ", ".join(f"{n} {t}" for n, t in signed.dtypes).replace("bigint", "long").replace("tinyint", "byte") == DEALT
     where = lines.select("node", "at", "line")
     pick = F.element_at(F.split("text", "\n"), F.col("line") + 1)
-    links = linked(signed, lambda pairs: verify(pairs, where, docs, text_col, id_col, threshold, pick=pick), threshold)
+    links = linked(signed, lines.select("node", F.col("n").cast("long").alias("n"), "bits"), lambda pairs: verify(pairs, where, docs, text_col, id_col, threshold, pick=pick), threshold)
     part = connected_components(links, "paragraphs")
     clustered = lines.join(part, "node", "left").select("id", "at", "first", "words", F.coalesce("component", "node").alias("cluster"))
 
