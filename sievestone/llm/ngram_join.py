@@ -4,8 +4,9 @@ A text's set is its distinct five-word shingles (the whole sequence if it is sho
 64-bit hashes. Texts of one set form a node. Two nodes link when 100 * intersection is at
 least `threshold` * union.
 
-Signatures. Tokens have one global order: rare ones by hash, then the frequent ones (at
-most `frequent_tokens`, found by counts over all texts) by count. A set of n tokens shares
+Signatures. Tokens have one global order: rare ones by hash, then the frequent ones by
+count. Frequent are at most `most_frequent` tokens, those with the largest sums over all
+batches of texts of counts that reach LEAST_IN_BATCH; any choice keeps the result exact. A set of n tokens shares
 at least c = ceil(threshold * n) of them with any partner, so at most e = n - c are
 missing. Its prefix is extended until, with every rare token worth one and every class of
 frequent tokens worth its size less one, it is worth e + 1: however e tokens vanish, either
