@@ -4,14 +4,15 @@ Paragraphs are of two kinds. Lines of at least `least_words` words get MinHash s
 over their five-word shingles, `bands` bands of `rows_per_band` values: a pair of
 similarity 0.8 collides with probability 0.99 (6 bands of 3: 1 - (1 - 0.8**3)**6). Lines
 that collide are verified by exact Jaccard similarity. Passages that stand inside longer
-lines are found by sliding paragraphs of `least_words` words: of every run of
-`least_words` + 1 starts the one with the least shingle hash is an anchor, so a passage
-of 2 * `least_words` words or more has the same anchor wherever it stands, and its
-paragraph, as one band of all its values, collides only with an equal one.
+lines are found by seeds: of so many successive runs of ten words the one with the least
+hash is an anchor, chosen so that rows that share a run of 21 words share an anchor. Each
+row is aligned, by its texts, with the smallest row of every of its anchors, and each
+alignment is extended left and right to the whole run that they share; runs of
+`least_words` words or more are repeats.
 
-Components of colliding and verified paragraphs are the clusters; of a cluster, the
-paragraph of the smallest id stays and all others are removed. A document's overlapping
-paragraphs are merged into spans of words.
+Components of colliding and verified lines are the clusters; of a cluster, the line of the
+smallest id stays and all others are removed, as are passages that a smaller row of one of
+their anchors has. A document's overlapping paragraphs are merged into spans of words.
 
 Defined results: null and empty text has no paragraph; only paragraphs of different rows
 count as repeats; a null id stays before all others; a repeated row is a document of its
@@ -21,42 +22,53 @@ ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import FOLD, SHINGLE_WORDS, connected_components, long_array, map_rows, materialise, mix, shingle_sequence, text_bytes, texts, word_hashes
-from .ngram_join import DEALT, NODE, bitmap, linked, nodes_of, verify
+from .ngram_join import BROADCAST_ROWS, DEALT, NODE, bitmap, least_overlap, linked, nodes_of, verify
 
 LEAST_WORDS, BANDS, ROWS_PER_BAND, THRESHOLD = 25, 6, 3, 80
+#: Words of a seed, fewer where a shared run may be shorter.
+SEED_WORDS = 10
+
 
+def seed_shape(least_words: int, threshold: int) -> tuple[int, int]:
+    """(words of a seed, starts of which one is an anchor): so that passages of `least_words` words or more that link share an anchor."""
+    whole = least_overlap(least_words - SHINGLE_WORDS + 1, threshold)
+    broken = -(-(2 * SHINGLE_WORDS - 1) * threshold // (2 * (100 - threshold))) if threshold < 100 else whole
+    run = min(whole, broken) + SHINGLE_WORDS - 1
+    width = min(SEED_WORDS, run)
+    return width, run - width + 1
 
-def anchors(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Starts of the sliding paragraphs of a word sequence."""
-    starts = len(hashes) - width + 1
-    if starts < 1:
-        return np.empty(0, dtype=np.int64)
-    h = shingle_sequence(hashes)[:starts]
-    if starts <= width + 1:
-        return np.array([int(np.argmin(h))])
-    view = np.lib.stride_tricks.sliding_window_view(h, width + 1)
+
+def anchors(seeds: np.ndarray, among: int) -> np.ndarray:
+    """Starts of the seeds that are the least of some `among` successive ones."""
+    if len(seeds) <= among:
+        return np.array([int(np.argmin(seeds))])
+    view = np.lib.stride_tricks.sliding_window_view(seeds, among)
     return np.unique(np.argmin(view, axis=1) + np.arange(len(view)))
 
 
-def _windows(width: int):
+def _seeds(least_words: int, threshold: int):
+    width, among = seed_shape(least_words, threshold)
+
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, starts, sizes = [], [], []
         for text in texts(batch.column(2)):
-            hashes = word_hashes(text.translate(FOLD).split())
-            at = anchors(hashes, width)
-            if len(at):
-                key, first = np.unique(shingle_sequence(hashes, width)[at], return_index=True)
-                keys.append(key)
-                starts.append(at[first])
-                sizes.append(len(key))
-            else:
+            words = text.translate(FOLD).split()
+            if len(words) < least_words:
                 sizes.append(0)
+                continue
+            seeds = shingle_sequence(word_hashes(words), width)
+            at = anchors(seeds, among)
+            keys.append(seeds[at])
+            starts.append(at)
+            sizes.append(len(at))
         rows = pa.array(np.repeat(np.arange(len(sizes)), sizes))
         none = np.empty(0, dtype=np.uint64)
         return pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), long_array(np.concatenate(keys or [none])), pa.array(np.concatenate(starts or [none]).astype(np.int32))], ["id", "at", "key", "first"])
@@ -64,6 +76,74 @@ def _windows(width: int):
     return work
 
 
+def shared_runs(own: np.ndarray, other: np.ndarray, shifts: list[int]) -> list[tuple[int, int, int]]:
+    """Maximal runs (first in own, first in other, length) of equal shingles, in order, of the alignments other = own + shift."""
+    out = []
+    for d in shifts:
+        lo, hi = max(0, -d), min(len(own), len(other) - d)
+        if lo < hi:
+            equal = np.concatenate(([0], (own[lo:hi] == other[lo + d : hi + d]).view(np.int8), [0]))
+            edges = np.flatnonzero(np.diff(equal)) + lo
+            out += [(x, x + d, y - x) for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)]
+    return sorted(out)
+
+
+def passages(own: np.ndarray, other: np.ndarray, shifts: list[int], least_words: int, threshold: int) -> set[tuple[int, int, int, int]]:
+    """Shared passages (first word, words, first word in other, words in other) of two shingle sequences."""
+    least, more = least_words - SHINGLE_WORDS + 1, SHINGLE_WORDS - 1
+    runs = shared_runs(own, other, shifts)
+    return {(p, n + more, q, n + more) for p, q, n in runs if n >= least}
+
+
+def _align(least_words: int, threshold: int):
+    """Stream (lead, part, member, at, id, lead_id, shifts, text), each part's leader first: spans of both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead, other, seen = None, None, None
+        for batch in batches:
+            out, spans = {"at": [], "id": [], "kept_in": []}, []
+            for key, member, at, id_, lead_id, shifts, text in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5, 6)), texts(batch.column(7)), strict=True):
+                if (key, at) == (lead, seen):
+                    continue
+                seen = at
+                own = shingle_sequence(word_hashes(text.translate(FOLD).split()))
+                if not member:
+                    lead, other = key, own
+                    continue
+                if key != lead:
+                    raise ValueError("a leader's text is missing")
+                for p, n, q, m in passages(own, other, shifts, least_words, threshold):
+                    out["at"] += [at, key]
+                    out["id"] += [id_, lead_id]
+                    out["kept_in"] += [lead_id, lead_id]
+                    spans += [(p, n, True), (q, m, False)]
+            first, words, removed = zip(*spans, strict=True) if spans else ((), (), ())
+            yield pa.record_batch(
+                [pa.array(out["id"], pa.int64()), pa.array(out["at"], pa.int64()), pa.array(first, pa.int32()), pa.array(words, pa.int32()), pa.array(out["kept_in"], pa.int64()), pa.array(removed, pa.bool_())],
+                ["id", "at", "first", "words", "kept_in", "removed"],
+            )
+
+    return run
+
+
+def aligned(seeds: DataFrame, docs: DataFrame, text_col: str, id_col: str, least_words: int, threshold: int, part: int = 256) -> DataFrame:
+    """Spans (id, at, first, words, kept_in, removed) of the passages that rows share with the smallest row of one of their seeds (id, at, key, first)."""
+    stay = seeds.groupBy("key").agg(F.min(F.struct("id", "at", "first")).alias("stay"), F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo <> hi").select("key", "stay")
+    hits = seeds.join(stay, "key").where(F.col("at") != F.col("stay.at"))
+    pairs = hits.groupBy(F.col("stay.at").alias("lead"), "at").agg(F.first("id").alias("id"), F.first("stay.id").alias("lead_id"), F.collect_set(F.col("stay.first") - F.col("first")).alias("shifts"))
+    pairs = materialise(pairs, "seed-pairs")
+    # as in verify: a leader's members are salted, the leader goes to every part
+    leads = pairs.groupBy("lead").agg(F.first("lead_id").alias("lead_id"), F.ceil(F.count("*") / F.lit(part)).alias("parts"))
+    members = pairs.join(leads.select("lead", "parts"), "lead").select("lead", F.pmod(F.xxhash64("at"), "parts").alias("part"), F.lit(True).alias("member"), "at", "id", "lead_id", "shifts")
+    first = leads.select("lead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False), F.col("lead").alias("at"), F.col("lead_id").alias("id"), "lead_id", F.array().cast("array<int>"))
+    wanted = materialise(members.union(first), "wanted")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    d = docs.select(F.xxhash64(F.col(id_col), text_bytes(text_col)).alias("at"), text_bytes(text_col).alias("text"))
+    sent = wanted.join(d, "at").select("lead", "part", "member", "at", "id", "lead_id", "shifts", "text")
+    return sent.repartition("lead", "part").sortWithinPartitions("lead", "part", "member", "at").mapInArrow(_align(least_words, threshold), "id long, at long, first int, words int, kept_in long, removed boolean")
+
+
 def _lines(least_words: int, bands: int, rows_per_band: int):
     seeds = mix(np.arange(1, bands * rows_per_band + 1, dtype=np.uint64))
 
@@ -130,8 +210,8 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     """One row per repeated span: id, at (hash of id and text), first_word, end_word, kept_in (smallest id of a copy), removed."""
     at = F.xxhash64(F.col(id_col), text_bytes(text_col)).alias("at")
     base = [F.col(id_col).cast("long").alias("id"), at, text_bytes(text_col).alias("text")]
-    windows = map_rows(docs, base, _windows(least_words), "id long, at long, key long, first int")
-    windows = materialise(windows, "windows").withColumn("words", F.lit(least_words))
+    seeds = materialise(map_rows(docs, base, _seeds(least_words, threshold), "id long, at long, key long, first int"), "seeds")
+    passed = materialise(aligned(seeds, docs, text_col, id_col, least_words, threshold), "passages")
 
     lines = map_rows(docs, base, _lines(least_words, bands, rows_per_band), "id long, at long, line int, first int, words int, node long, n int, bands array<long>, bits binary")
     lines = materialise(lines, "long-lines")
@@ -143,7 +223,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     part = connected_components(links, "paragraphs")
     clustered = lines.join(part, "node", "left").select("id", "at", "first", "words", F.coalesce("component", "node").alias("cluster"))
 
-    both = _repeated(windows, "key").unionByName(_repeated(clustered, "cluster"))
+    both = passed.unionByName(_repeated(clustered, "cluster"))
     found = both.groupBy("id", "at").agg(F.collect_set(F.struct("first", "words", "kept_in", "removed")).alias("found"))
     return found.mapInArrow(lambda batches: map(_merge, batches), "id long, at long, first_word long, end_word long, kept_in long, removed boolean")
 

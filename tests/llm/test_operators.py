@@ -188,6 +188,22 @@ def test_substrings_of_edge_cases(spark):
     assert kept[1].count(" ") == 124 and len(kept[2].split()) <= 26 + 30 and kept[3].count(" ") == 199 and kept[6] == ""
 
 
+def test_substrings_cover_the_whole_repeat(spark):
+    rng = np.random.default_rng(9)
+    w = lambda n: " ".join(f"u{x}" for x in rng.integers(0, 10**9, n))
+    docs, planted = [], {}
+    for k, n in enumerate((25, 30, 51, 55, 80, 200)):
+        passage, before = w(n), int(rng.integers(5, 90))
+        docs += [(2 * k, f"{w(33)} {passage} {w(21)}"), (2 * k + 1, f"{w(before)} {passage}\n{w(17)} {passage} {w(4)}")]
+        planted |= {(2 * k, False): [(33, 33 + n)], (2 * k + 1, True): [(before, before + n), (before + n + 17, before + 2 * n + 17)]}
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = collections.defaultdict(list)
+    for r in substring_dedup.repeated_spans(d).orderBy("first_word").collect():
+        got[r.id, r.removed].append((r.first_word, r.end_word))
+        assert r.kept_in == r.id // 2 * 2
+    assert got == planted
+
+
 def test_language_id(spark, sf_dir):
     out = language_id.op5_language_id(spark, "/root/testdata/sf0.01").toPandas()
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").toPandas().merge(out, on="doc_id")
