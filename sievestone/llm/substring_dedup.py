@@ -8,7 +8,10 @@ lines are found by seeds: of so many successive runs of ten words the one with t
 hash is an anchor, chosen so that rows that share a run of 21 words share an anchor. Each
 row is aligned, by its texts, with the smallest row of every of its anchors, and each
 alignment is extended left and right to the whole run that they share; runs of
-`least_words` words or more are repeats.
+`least_words` words or more are repeats. Runs are chained over the words between them: the
+longest passages of `least_words` words or more that exact Jaccard similarity verifies are
+repeats too. Passages that link share a run of 21 words, so near copies share an anchor; a
+row is compared only with the smallest row of each anchor.
 
 Components of colliding and verified lines are the clusters; of a cluster, the line of the
 smallest id stays and all others are removed, as are passages that a smaller row of one of
@@ -88,11 +91,55 @@ def shared_runs(own: np.ndarray, other: np.ndarray, shifts: list[int]) -> list[t
     return sorted(out)
 
 
+def chains(runs: list[tuple[int, int, int]], threshold: int) -> list[list[tuple[int, int, int]]]:
+    """The runs, trimmed to follow one another in both sequences, in chains whose gaps what they share can make up for."""
+    longest, live, out = max((n for *_, n in runs), default=0), [], []
+    for p, q, n in runs:
+        best = None
+        for c in live:
+            x, y, m = c[1][-1]
+            a, b = p - x - m, q - y - m
+            cut = max(0, -a, -b)
+            if cut < n and (a + b + 2 * cut) * threshold <= (c[0] + n - cut) * (100 - threshold) and (best is None or (a + b + 3 * cut) < best[0]):
+                best = (a + b + 3 * cut, cut, c)
+        if best is None:
+            live.append([n, [(p, q, n)]])
+            out.append(live[-1][1])
+        else:
+            _, cut, c = best
+            c[0] += n - cut
+            c[1].append((p + cut, q + cut, n - cut))
+        live = [c for c in live if (p - c[1][-1][0] - c[1][-1][2]) * threshold <= (c[0] + longest) * (100 - threshold)]
+    return out
+
+
+def links(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
+    x, y = np.unique(x), np.unique(y)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= threshold * (len(x) + len(y) - both)
+
+
 def passages(own: np.ndarray, other: np.ndarray, shifts: list[int], least_words: int, threshold: int) -> set[tuple[int, int, int, int]]:
     """Shared passages (first word, words, first word in other, words in other) of two shingle sequences."""
     least, more = least_words - SHINGLE_WORDS + 1, SHINGLE_WORDS - 1
     runs = shared_runs(own, other, shifts)
-    return {(p, n + more, q, n + more) for p, q, n in runs if n >= least}
+    out = {(p, n + more, q, n + more) for p, q, n in runs if n >= least}
+    for chain in chains(runs, threshold):
+        if len(chain) < 2:
+            continue
+        p, q, n = np.array(chain).T
+        shared, done = np.concatenate(([0], np.cumsum(n))), 0
+        for i in range(len(chain)):
+            # up to which later run the passage still links, by place; what follows reads the sets
+            a, b, c = (p + n)[i:] - p[i], (q + n)[i:] - q[i], shared[i + 1 :] - shared[i]
+            may = np.flatnonzero((100 * c >= threshold * (a + b - c)) & (np.minimum(a, b) >= least)) + i
+            for j in may[may > max(i, done)][::-1].tolist():
+                x, y = own[p[i] : p[j] + n[j]], other[q[i] : q[j] + n[j]]
+                if links(x, y, threshold):
+                    out.add((int(p[i]), len(x) + more, int(q[i]), len(y) + more))
+                    done = j
+                    break
+    return out
 
 
 def _align(least_words: int, threshold: int):

@@ -204,6 +204,47 @@ def test_substrings_cover_the_whole_repeat(spark):
     assert got == planted
 
 
+def test_substrings_find_near_copies_inside_lines(spark):
+    rng = np.random.default_rng(10)
+    w = lambda n: [f"u{x}" for x in rng.integers(0, 10**9, n)]
+    docs, want = [], {}
+    for k in range(20):
+        passage, before, at = w(60), int(rng.integers(5, 90)), int(rng.integers(25, 35))
+        near = passage[:at] + [["other"], [], ["one", passage[at]]][k % 3] + passage[at + 1 :]
+        docs += [(2 * k, " ".join(w(33) + passage + w(21))), (2 * k + 1, " ".join(w(before) + near + w(21)))]
+        want[2 * k + 1] = (before, before + len(near), 2 * k)
+    # two changed words: a similarity of 46/66, no repeat as a whole, and no run of 25 words
+    far = w(60)
+    docs += [(100, " ".join(w(30) + far + w(30))), (101, " ".join(w(30) + far[:20] + ["a"] + far[21:40] + ["b"] + far[41:] + w(30)))]
+    # a near copy over short lines
+    lines = w(80)
+    docs += [(200, "\n".join(" ".join(lines[i : i + 8]) for i in range(0, 80, 8))), (201, " ".join(lines[:41] + ["c"] + lines[42:]))]
+    want[201] = (0, 80, 200)
+    got = substring_dedup.repeated_spans(spark.createDataFrame(docs, "doc_id long, text string")).where("removed").collect()
+    assert {r.id: (r.first_word, r.end_word, r.kept_in) for r in got} == want and len(got) == len(want)
+
+
+def test_chains_against_every_alignment():
+    rng = np.random.default_rng(11)
+    for _ in range(300):
+        x = rng.integers(0, 2**62, 70).astype(np.uint64)
+        a = int(rng.integers(1, 69))
+        y = np.concatenate([x[:a], rng.integers(0, 2**62, int(rng.integers(0, 3))).astype(np.uint64), x[a + int(rng.integers(0, 2)) :]])
+        own, other = _common.shingle_sequence(x), _common.shingle_sequence(y)
+        if not substring_dedup.links(own, other, 80):
+            continue
+        width, among = substring_dedup.seed_shape(25, 80)
+        seeds = [_common.shingle_sequence(v, width) for v in (x, y)]
+        at = [{int(s[i]): i for i in substring_dedup.anchors(s, among).tolist()} for s in seeds]
+        shifts = sorted({at[1][k] - i for k, i in at[0].items() if k in at[1]})
+        found = substring_dedup.passages(own, other, shifts, 25, 80)
+        same = np.isin(own, other)
+        covered = np.zeros(len(own), dtype=bool)
+        for p, n, *_ in found:
+            covered[p : p + n - 4] = True
+        assert shifts and (covered | ~same).sum() >= len(own) - 20
+
+
 def test_language_id(spark, sf_dir):
     out = language_id.op5_language_id(spark, "/root/testdata/sf0.01").toPandas()
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang").toPandas().merge(out, on="doc_id")
