@@ -35,7 +35,7 @@ CLAIMS = "cl AS (SELECT event_id AS claim_id, user_id AS subject, event_type AS
 
 
 def claims(t):
-    return t("events").where("user_id < 40").select(F.col("event_id").alias("claim_id"), F.col("user_id").alias("subject"), F.col("event_type").alias("relation"), F.round("value").cast("long").alias("object"), (F.col("event_id") % 7).alias("family"), "ts")
+    return t("events").select(F.col("event_id").alias("claim_id"), F.col("user_id").alias("subject"), F.col("event_type").alias("relation"), F.round("value").cast("long").alias("object"), (F.col("event_id") % 7).alias("family"), "ts")
 
 
 @query(f"""
