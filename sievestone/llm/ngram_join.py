@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import connected_components, long_array, materialise, mix, shingle_set, text_bytes, texts
+from ._common import connected_components, discard, long_array, materialise, mix, shingle_set, text_bytes, texts
 
 THRESHOLD = 80
 #: Bound of the broadcast frequent tokens; a batch reports tokens of at least so many texts.
@@ -483,11 +483,11 @@ def linked(signed: DataFrame, nodes: DataFrame, check: Callable[[DataFrame], Dat
     return links
 
 
-def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: int = THRESHOLD, most_frequent: int = FREQUENT_TOKENS, small_group: int = SMALL_GROUP) -> DataFrame:
-    """One row per row of docs: id, n_shingles, component_id (smallest id reachable by links)."""
+def placed_rows(docs: DataFrame, text_col: str, id_col: str, threshold: int, most_frequent: int, small_group: int) -> DataFrame:
+    """One row per row of docs: id, at (hash of id and text), n_shingles, part (a node of its component; null without shingles)."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    survey = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), text_bytes(text_col)).alias("at"), text_bytes(text_col).alias("text"))
+    survey = docs.select(F.col(id_col).alias("id"), row_hash(text_col, id_col).alias("at"), text_bytes(text_col).alias("text"))
     survey = materialise(survey.mapInArrow(_survey, f"kind byte, id {kind}, at long, node long, n long, bits binary, token long, seen long"), "survey")
     nodes = survey.where(F.col("kind") == DOCUMENT)
     sent = spark.sparkContext.broadcast(frequent_tokens(survey, most_frequent))
@@ -499,18 +499,41 @@ def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", thresh
     links = linked(signed, nodes.where("node is not null").select("node", "n", "bits"), check, threshold, small_group)
 
     part = connected_components(links, "last")
-    placed = nodes.join(part, "node", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("part"))
-    placed = materialise(placed, "placed")
+    placed = nodes.join(part, "node", "left").select("id", "at", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("part"))
+    out = materialise(placed, "placed")
+    discard(survey)
+    return out
+
+
+def row_hash(text_col: str, id_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), text_bytes(text_col))
+
+
+def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: int = THRESHOLD, most_frequent: int = FREQUENT_TOKENS, small_group: int = SMALL_GROUP) -> DataFrame:
+    """One row per row of docs: id, n_shingles, component_id (smallest id reachable by links)."""
+    placed = placed_rows(docs, text_col, id_col, threshold, most_frequent, small_group)
     least = placed.where("part is not null").groupBy("part").agg(F.min("id").alias("component_id"))
     some = placed.where("part is not null").join(least, "part").select("id", "n_shingles", "component_id")
     return some.union(placed.where("part is null").select("id", "n_shingles", F.col("id").alias("component_id")))
 
 
-def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **how: int) -> DataFrame:
-    """The rows of docs that stay: of each component, those with its smallest id (a row for each id)."""
-    out = join(docs, text_col, id_col, **how)
-    gone = materialise(out.where(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("gone")), "linked").distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["gone"]), "left_anti")
+def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: int = THRESHOLD, most_frequent: int = FREQUENT_TOKENS, small_group: int = SMALL_GROUP) -> DataFrame:
+    """The rows of docs that stay, with their columns: of each component the row of the smallest id (a null id only if all are null), and all rows without shingles.
+
+    Rows are told apart by id and text; of rows alike in both one stays.
+    """
+    placed = placed_rows(docs, text_col, id_col, threshold, most_frequent, small_group).where("part is not null")
+    best = placed.groupBy("part").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "at")).alias("best"))
+    rows = placed.join(best, "part").groupBy("id", "at").agg(F.max(F.col("id").eqNullSafe(F.col("best.id")) & (F.col("at") == F.col("best.at"))).alias("stays"), F.count("*").alias("n"))
+    rows = materialise(rows, "verdicts")
+    gone, again = rows.where("not stays").select("id", "at"), rows.where("stays and n > 1").select("id", "at")
+    own = {c: f"_own{i}" for i, c in enumerate(docs.columns)}
+    d = docs.withColumnsRenamed(own).withColumn("_at", row_hash(own[text_col], own[id_col]))
+    on = lambda other: d[own[id_col]].eqNullSafe(other["id"]) & (d["_at"] == other["at"])
+    out = d.join(gone, on(gone), "left_anti")
+    if again.limit(1).count():
+        out = out.join(again, on(again), "left_anti").unionByName(out.join(again, on(again), "left_semi").dropDuplicates([own[id_col], "_at"]))
+    return out.select(*(F.col(v).alias(k) for k, v in own.items()))
 
 
 def op2_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

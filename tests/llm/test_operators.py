@@ -129,6 +129,15 @@ def test_ngram_join_of_edge_cases(spark):
     assert kept.columns == d.columns and {4, 5}.isdisjoint(r.doc_id for r in kept.collect())
 
 
+def test_one_of_each_tells_rows_apart_by_id_and_text(spark):
+    rng = np.random.default_rng(6)
+    w = lambda: " ".join(f"u{x}" for x in rng.integers(0, 10**9, 60))
+    copied, other, alone, null, shared = (w() for _ in range(5))
+    d = spark.createDataFrame([(3, copied), (None, copied), (None, alone), (7, copied.upper()), (7, other), (8, other), (9, shared), (9, null), (9, null), (None, ""), (None, None)], "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.text) for r in ngram_join.one_of_each(d).collect())
+    assert got == collections.Counter([(3, copied), (None, alone), (7, other), (9, shared), (9, null), (None, ""), (None, None)])
+
+
 def test_bitmaps_never_rule_out_a_link():
     rng = np.random.default_rng(1)
     for n in (4, 30, 300, 5000):
