@@ -312,20 +312,50 @@ def test_exact_dedup_of_edge_cases(spark):
     assert out.count() == len(by) and out.columns == d.columns and rows(exact_dedup.judged(d, heavy=2).drop("digest").toPandas()) == rows(got.drop("digest").toPandas())
 
 
-def test_mixing(spark):
+def mixed(spark, n=3000):
     rng = np.random.default_rng(0)
-    docs = [(i, " ".join(["t"] * int(rng.integers(1, 60))), "ab"[int(rng.integers(10) > 7)], "xy"[int(rng.integers(10) > 6)]) for i in range(3000)] + [(None, None, None, None)]
-    d = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string")
+    docs = [(i, " ".join(["t"] * int(rng.integers(1, 60))), "ab"[int(rng.integers(10) > 7)], "xy"[int(rng.integers(10) > 6)]) for i in range(n)] + [(None, None, None, None)]
+    return spark.createDataFrame(docs, "doc_id long, text string, source string, lang string")
+
+
+def test_mixing_meets_its_targets(spark):
+    d = mixed(spark)
     targets = {"source": {"a": 0.5, "b": 0.5}, "lang": 0.0, "topic": 1.0}
-    dims = source_mixing.dims_of(d, "text", "source", "lang")
-    counted = source_mixing.with_cells(d, dims, source_mixing.tokens_of(F.col("text")), [])
-    cells = source_mixing.calibrated(counted, targets, keep=0.2).toPandas()
-    tokens = counted.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("t")).toPandas()
-    both = cells.merge(tokens)
-    mass = (both.weight * both.t).groupby(both._source).sum()
-    assert abs(mass["=a"] / mass.sum() - 0.5) < 0.02
+    rows = source_mixing.counted(d, [])
+    cells = source_mixing.calibrated(rows, targets, keep=0.2)
+    for r in source_mixing.residuals(cells, list(targets)).collect():
+        assert r.residual < 1e-9
+        assert abs(r.target - 0.5) < 1e-9 or r.dimension == "topic"
+    assert cells.agg(F.max("probability")).first()[0] <= 0.2 * cells.agg(F.max("weight")).first()[0] + 1e-9
     assert 0 < source_mixing.sample(d, targets=targets, keep=0.2).count() < 3000
-    assert source_mixing.sample(edge(spark)).columns == edge(spark).columns
+
+
+def test_sampled_marginals_at_production_parameters(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = source_mixing.counted(docs, [F.col("doc_id")])
+    cells = source_mixing.calibrated(rows, source_mixing.TARGETS)
+    assert cells.agg(F.max("probability")).first()[0] <= 1
+    # no probability is cut, so the expected sample has the raked marginals
+    expected = cells.withColumn("w", F.col("probability") * F.col("t"))
+    assert all(r.residual < 1e-8 for r in source_mixing.residuals(expected, list(source_mixing.TARGETS)).collect())
+    kept = rows.join(cells.drop("t"), ["_source", "_lang", "_topic"]).where(source_mixing.uniform(F.col("doc_id")) < F.col("probability")).toPandas()
+    whole = kept._tokens.sum()
+    for r in source_mixing.residuals(cells, ["lang"]).collect():
+        assert abs(kept[kept._lang == r.category]._tokens.sum() / whole - r.target) < 0.05
+
+
+def test_mixing_of_edge_cases(spark):
+    d = edge(spark)
+    out = source_mixing.sample(d, targets={"source": {"s": 0.5}, "lang": 0.0, "topic": 1.0}, most_rounds=8)
+    assert out.columns == d.columns and out.count() <= d.count()
+    # source a has only lang x: half of the one and a tenth of the other contradict each other
+    clash = spark.createDataFrame([(1, "u v w", "a", "x"), (2, "u v", "b", "y")], "doc_id long, text string, source string, lang string")
+    targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.1, "y": 0.9}}
+    assert source_mixing.sample(clash, targets=targets, most_rounds=8).count() <= 2
+    with pytest.raises(ValueError, match="not met"):
+        source_mixing.sample(clash, targets=targets, most_rounds=8, strict=True)
+    named = source_mixing.sample(clash.withColumn("subject", F.lit("law")), topic_col="subject", targets={"topic": 1.0})
+    assert named.columns[-1] == "subject" and set(r.subject for r in named.collect()) <= {"law"}
 
 
 def test_chats(spark):
