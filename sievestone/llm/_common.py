@@ -48,6 +48,78 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bits of the filter that drop_rows broadcasts, at most, and bits that a key sets.
+FILTER_BITS, FILTER_HASHES = 1 << 27, 4
+
+
+def _places(keys: np.ndarray, size: int) -> np.ndarray:
+    """The bits, one row a key, that stand for 64-bit keys in a filter of so many bits."""
+    steps = np.arange(1, FILTER_HASHES + 1, dtype=np.uint64) * _MULT
+    return mix(keys[:, None] + steps[None, :]) & np.uint64(size - 1)
+
+
+def key_filter(keys: DataFrame, n: int, most_bits: int = FILTER_BITS) -> np.ndarray:
+    """Bloom filter, in 64-bit words, of the column `key` (long) of `n` rows; never more than `most_bits` bits."""
+    size = min(most_bits, 1 << max(10, (12 * n - 1).bit_length()))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(_places(batch.column(0).to_numpy().view(np.uint64), size))
+            word, first = np.unique(at >> np.uint64(6), return_index=True)
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else at
+            yield pa.record_batch([pa.array(word.astype(np.int64)), long_array(bits)], ["word", "bits"])
+
+    made = keys.select("key").mapInArrow(work, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(size // 64, dtype=np.uint64)
+    out[made["word"].to_numpy()] = made["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def may_hold(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False only for keys that are not in the filter."""
+    at = _places(keys, 64 * len(words))
+    return ((words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1)
+
+
+def possibly(df: DataFrame, keys: DataFrame, key: Column) -> tuple[DataFrame, DataFrame] | None:
+    """(rows whose key may be among `keys` (key long), all others); None if keys is empty.
+
+    The filter is broadcast; its size grows with the keys up to FILTER_BITS, beyond which
+    it only lets more rows through.
+    """
+    n = keys.count()
+    if not n:
+        return None
+    sent = df.sparkSession.sparkContext.broadcast(key_filter(keys, n))
+
+    def test(column: pa.Array) -> pa.Array:
+        return pa.array(may_hold(sent.value, column.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    may = F.arrow_udf(test, "boolean")(key)
+    return df.where(may), df.where(~may)
+
+
+def drop_rows(docs: DataFrame, gone: DataFrame, id_col: str, mark: Callable[[DataFrame], Column], again: DataFrame | None = None) -> DataFrame:
+    """docs without the rows that gone (id, mark) names; of rows that again (id, mark) names, one of each.
+
+    mark is a hash of the row that makes it one of its own with the id; it is made, and rows are
+    shuffled, only where the id may be named.
+    """
+    again = gone.limit(0) if again is None else again
+    named = gone.select(F.xxhash64("id").alias("key")).union(again.select(F.xxhash64("id")))
+    own = {c: f"_own{i}" for i, c in enumerate(docs.columns)}
+    d = docs.withColumnsRenamed(own)
+    parts = possibly(d, named, F.xxhash64(own[id_col]))
+    if parts is None:
+        return docs
+    some = parts[0].withColumn("_mark", mark(parts[0]))
+    on = lambda other: some[own[id_col]].eqNullSafe(other["id"]) & (some["_mark"] == other["mark"])
+    left = some.join(gone, on(gone), "left_anti")
+    if again.limit(1).count():
+        left = left.join(again, on(again), "left_anti").unionByName(left.join(again, on(again), "left_semi").dropDuplicates([own[id_col], "_mark"]))
+    return parts[1].unionByName(left.drop("_mark")).select(*(F.col(v).alias(k) for k, v in own.items()))
+
+
 def texts(column: pa.Array) -> list[bytes | None]:
     """The column's values as UTF-8 bytes."""
     return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()

@@ -17,10 +17,10 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import FOLD, materialise, text_bytes, texts
+from ._common import FOLD, discard, drop_rows, materialise, text_bytes, texts
 
 #: Bound of the broadcast winners and of each task's summary.
 HEAVY = 256
@@ -63,10 +63,9 @@ def judged(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", heav
     winners = rows.join(F.broadcast(frequent.select("digest")), "digest", "left_semi").groupBy("digest").agg(best, F.count("*").alias("group_size"))
     winners = materialise(winners, "winners")
     hot = rows.join(F.broadcast(winners), "digest")
-    alike = Window.partitionBy("digest")
-    rest = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti").select(
-        "digest", "id", "row", F.max(F.struct(F.col("id"), -F.col("row"))).over(alike).alias("best"), F.count("*").over(alike).alias("group_size")
-    )
+    cold = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
+    # groups are summed map-side and joined, so that none of them ever sits in a task
+    rest = cold.join(cold.groupBy("digest").agg(best, F.count("*").alias("group_size")), "digest").select("digest", "id", "row", "best", "group_size")
     both = hot.select(rest.columns).unionByName(rest)
     return both.select("id", "digest", F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == -F.col("best.col2")).alias("kept"))
 
@@ -74,24 +73,14 @@ def judged(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", heav
 def deduplicate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", heavy: int = HEAVY) -> DataFrame:
     """The rows of docs that stay, with all their columns.
 
-    The rows to drop are written as (id, digest) and anti-joined: Spark broadcasts them only
-    while they are under its size threshold and shuffles otherwise. Repeated rows, alike in
-    id and digest, are cut to one by a further aggregate that runs only where there are any.
+    The rows to drop are written as (id, digest); only rows whose id may be among them are
+    digested again and shuffled. Repeated rows, alike in id and digest, are cut to one.
     """
     verdict = materialise(judged(docs, text_col, id_col, heavy), "verdicts")
-    drop = verdict.groupBy("id", "digest").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    gone = materialise(drop.where(~F.col("kept")).select("id", "digest"), "dropped")
-    again = materialise(drop.where("kept and n > 1").select("id", "digest"), "repeated")
-    taken = set(docs.columns)
-    mark = next(m for i in range(len(taken) + 1) if (m := f"_digest{i}") not in taken)
-    d = docs.withColumn(mark, text_digest(text_col))
-    on = lambda other: d[id_col].eqNullSafe(other["id"]) & (d[mark] == other["digest"])
-    out = d.join(gone, on(gone), "left_anti")
-    if again.limit(1).count():
-        single = out.join(again, on(again), "left_anti")
-        twice = out.join(again, on(again), "left_semi").dropDuplicates([id_col, mark])
-        out = single.unionByName(twice)
-    return out.drop(mark)
+    drop = materialise(verdict.groupBy("id", F.col("digest").alias("mark")).agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"), "dropped")
+    discard(verdict)
+    named = [c for c in docs.columns]
+    return drop_rows(docs, drop.where("not kept").select("id", "mark"), id_col, lambda d: text_digest(d.columns[named.index(text_col)]), drop.where("kept").select("id", "mark"))
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:

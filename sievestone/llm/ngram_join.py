@@ -35,6 +35,7 @@ empty table; other columns are carried or ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -43,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import connected_components, discard, long_array, materialise, mix, shingle_set, text_bytes, texts
+from ._common import connected_components, discard, drop_rows, long_array, materialise, mix, shingle_set, text_bytes, texts
 
 THRESHOLD = 80
 #: Bound of the broadcast frequent tokens; a batch reports tokens of at least so many texts.
@@ -55,8 +56,8 @@ BROADCAST_ROWS = 400_000
 CLASS_TOKENS = 5
 #: Members of a block when the open members of a larger group are compared.
 BLOCK = 512
-#: Pairs of a member that are verified before all open pairs are.
-FEW = 16
+#: Pairs of a member that are verified in each of so many rounds before all open pairs are.
+FEW, FEW_ROUNDS = 4, 2
 
 
 def least_overlap(n: int, threshold: int = THRESHOLD) -> int:
@@ -389,20 +390,23 @@ def _matrix(bits: list[bytes], size: int) -> np.ndarray:
 
 
 def _block_pairs(rows: list[tuple], threshold: int, most: int | None) -> set[tuple[int, int]]:
-    """Pairs of one block or two, (node, n, part, bits, block), of different parts, that sizes and bitmaps don't rule out; of each row at most so many, by hash."""
+    """Pairs of one block or two, (node, n, part, bits, block, own), of different parts, that sizes and bitmaps don't rule out; of each row at most so many, by hash.
+
+    Rows that are not `own` meet only rows that are; those of two blocks meet only across.
+    """
     out: set[tuple[int, int]] = set()
-    sizes = sorted({len(r[3]) for r in rows})
-    for size in sizes:
-        own = [r for r in rows if len(r[3]) == size]
-        both = own + [r for r in rows if len(r[3]) == 2 * size]
-        x, y = _matrix([r[3] for r in own], 8 * size), _matrix([r[3] for r in both], 8 * size)
-        n, m = (np.array([r[1] for r in side]) for side in (own, both))
-        p, q = (np.array([r[2] for r in side]) for side in (own, both))
-        split = len({r[4] for r in rows}) > 1
+    split = len({r[4] for r in rows}) > 1
+    for size in sorted({len(r[3]) for r in rows}):
+        mine = [r for r in rows if len(r[3]) == size]
+        both = mine + [r for r in rows if len(r[3]) == 2 * size]
+        x, y = _matrix([r[3] for r in mine], 8 * size), _matrix([r[3] for r in both], 8 * size)
+        n, m = (np.array([r[1] for r in side]) for side in (mine, both))
+        p, q = (np.array([r[2] for r in side]) for side in (mine, both))
+        c, d = (np.array([r[4] for r in side]) for side in (mine, both))
+        own, other = (np.array([r[5] for r in side]) for side in (mine, both))
         ids = np.array([r[0] for r in both], dtype=np.int64).view(np.uint64)
-        c, d = (np.array([r[4] for r in side]) for side in (own, both))
-        for i in range(len(own)):
-            may = (p[i] != q) & (100 * np.minimum(n[i], m) >= threshold * np.maximum(n[i], m))
+        for i in range(len(mine)):
+            may = (p[i] != q) & (100 * np.minimum(n[i], m) >= threshold * np.maximum(n[i], m)) & (own[i] | other)
             may[: i + 1] = False  # those of the same size class come first and in the same order
             if split:
                 may &= c[i] != d
@@ -414,21 +418,21 @@ def _block_pairs(rows: list[tuple], threshold: int, most: int | None) -> set[tup
             if most is not None and len(at) > most:
                 at = at[np.argpartition(mix(ids[at] ^ mix(ids[i : i + 1])), most)[:most]]
             for j in at:
-                out.add((min(own[i][0], both[j][0]), max(own[i][0], both[j][0])))
+                out.add((min(mine[i][0], both[j][0]), max(mine[i][0], both[j][0])))
     return out
 
 
 def _compare(threshold: int, most: int | None):
-    """Stream (sig, lo, hi, node, n, part, bits, block), sorted by the first three: pairs (a, b). A group has two blocks at most."""
+    """Stream (sig, band, lo, hi, node, n, part, bits, block, own), sorted by the first four: pairs (a, b). A group has two blocks at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
         made: set[tuple[int, int]] = set()
         for batch in batches:
-            for s, lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (s, lo, hi) != key:
+            for s, band, lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (s, band, lo, hi) != key:
                     made |= _block_pairs(rows, threshold, most) if len(rows) > 1 else set()
-                    key, rows = (s, lo, hi), []
+                    key, rows = (s, band, lo, hi), []
                 rows.append(tuple(row))
             a, b = ([x[k] for x in made] for k in (0, 1))
             yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -439,18 +443,37 @@ def _compare(threshold: int, most: int | None):
     return run
 
 
-def across(members: DataFrame, nodes: DataFrame, threshold: int, most: int | None, block: int = BLOCK) -> DataFrame:
-    """Likely pairs (a, b) of different parts among members (sig, node, n, part) of a signature, in blocks.
+def _compared(m: DataFrame, threshold: int, most: int | None) -> DataFrame:
+    key = ("sig", "band", "lo", "hi")
+    m = m.select(*key, "node", "n", "part", "bits", "block", "own").repartition(*key).sortWithinPartitions(*key, "node")
+    return m.mapInArrow(_compare(threshold, most), "a long, b long").distinct()
 
-    A signature of up to `block` members is one group; one of more has every two of its
-    blocks compared, each such pair of blocks a group of its own.
-    """
-    bits = nodes.groupBy("node").agg(F.first("bits").alias("bits"))
+
+def some_across(members: DataFrame, bits: DataFrame, threshold: int, most: int, salt: int, block: int = BLOCK) -> DataFrame:
+    """Likely pairs (a, b) of different parts among members (sig, node, n, part): of each member at most so many, within blocks that the salt deals."""
     count = members.groupBy("sig").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    m = members.join(bits, "node").join(count, "sig").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    m = m.select("sig", "lo", "hi", "node", "n", "part", "bits", "block").repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi", "node")
-    return m.mapInArrow(_compare(threshold, most), "a long, b long").distinct()
+    m = members.join(bits, "node").join(count, "sig").withColumn("block", F.pmod(F.xxhash64("node", F.lit(salt)), F.col("blocks")).cast("int"))
+    return _compared(m.withColumns({"band": F.lit(0), "lo": F.col("block"), "hi": F.col("block"), "own": F.lit(True)}), threshold, most)
+
+
+def all_across(members: DataFrame, bits: DataFrame, threshold: int, block: int = BLOCK) -> DataFrame:
+    """All likely pairs (a, b) of different parts among members (sig, node, n, part) of a signature.
+
+    Sizes that can link lie in one band or in two next to each other: a band meets itself and
+    the one below. Of a band's group the members of its largest part do not meet each other:
+    blocks of the rest meet the rest's and the largest part's blocks, each such pair of
+    blocks a group of its own.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / threshold)) + 1e-9).cast("int") if threshold < 100 else F.col("n")
+    m = members.withColumn("of", band).withColumn("band", F.explode(F.array(F.col("of"), F.col("of") + 1))).withColumn("own", F.col("of") == F.col("band"))
+    # groupwise counts, summed map-side: of parts, then of the group
+    parts = m.groupBy("sig", "band", "part").agg(F.count("*").alias("c"), F.max("own").alias("any"))
+    group = parts.groupBy("sig", "band").agg(F.max(F.struct("c", "part")).alias("top"), F.sum("c").alias("all"), F.max("any").alias("any"), F.count("*").alias("parts"))
+    group = group.where("any and parts > 1").select("sig", "band", F.col("top.part").alias("big"), F.ceil((F.col("all") - F.col("top.c")) / F.lit(block)).cast("int").alias("few"), F.ceil(F.col("top.c") / F.lit(block)).cast("int").alias("many"))
+    m = m.join(group, ["sig", "band"]).join(bits, "node").withColumn("in", F.col("part") == F.col("big"))
+    m = m.withColumn("block", F.when(F.col("in"), F.col("few") + F.pmod(F.xxhash64("node"), "many")).otherwise(F.pmod(F.xxhash64("node"), "few")).cast("int"))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("in"), F.col("few") - 1).otherwise(F.col("few") + F.col("many") - 1))))
+    return _compared(m.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")), threshold, None)
 
 
 def linked(signed: DataFrame, nodes: DataFrame, check: Callable[[DataFrame], DataFrame], threshold: int, small_group: int = SMALL_GROUP) -> DataFrame:
@@ -466,20 +489,25 @@ def linked(signed: DataFrame, nodes: DataFrame, check: Callable[[DataFrame], Dat
     big = found.where(F.col("kind") == MEMBER).select(F.col("x").alias("sig"), F.col("y").alias("node"), "n").distinct()
     if not big.limit(1).count():
         return links
-    # first a few pairs of each member, which join most of what belongs together, then all that are still open
-    for most in (FEW, None):
+    # first a few pairs of each member, dealt anew each time, which join most of what belongs together, then all that are still open
+    bits = nodes.groupBy("node").agg(F.first("bits").alias("bits"))
+    for salt in (*range(FEW_ROUNDS), None):
         part = connected_components(links, "parts")
-        member = big.join(part, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("part"))
-        member = materialise(member, "members")
+        member = materialise(big.join(part, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("part")), "members")
         # near copies share many signatures: groups are merged by their smallest node, so that each pair is compared once, not once a signature
         split = member.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("node").alias("lead")).where("lo <> hi")
-        open_ = member.join(split.select("sig", "lead"), "sig").select(F.col("lead").alias("sig"), "node", "n", "part").distinct()
-        more = across(materialise(open_, "open"), nodes, threshold, most).join(pairs, ["a", "b"], "left_anti")
-        more = materialise(more, "more")
-        if not more.limit(1).count():
+        open_ = materialise(member.join(split.select("sig", "lead"), "sig").select(F.col("lead").alias("sig"), "node", "n", "part").distinct(), "open")
+        across = all_across(open_, bits, threshold) if salt is None else some_across(open_, bits, threshold, FEW, salt)
+        more = materialise(across.join(pairs, ["a", "b"], "left_anti"), "more")
+        none_open = not open_.limit(1).count()
+        discard(member, open_)
+        if none_open:
             break
+        if not more.limit(1).count():
+            continue
         pairs = pairs.union(more)
-        links = materialise(links.union(check(more)), "all-links")
+        links, before = materialise(links.union(check(more)), "all-links"), links
+        discard(before)
     return links
 
 
@@ -522,18 +550,15 @@ def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
     Rows are told apart by id and text; of rows alike in both one stays.
     """
-    placed = placed_rows(docs, text_col, id_col, threshold, most_frequent, small_group).where("part is not null")
+    placed_all = placed_rows(docs, text_col, id_col, threshold, most_frequent, small_group)
+    placed = placed_all.where("part is not null")
     best = placed.groupBy("part").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "at")).alias("best"))
     rows = placed.join(best, "part").groupBy("id", "at").agg(F.max(F.col("id").eqNullSafe(F.col("best.id")) & (F.col("at") == F.col("best.at"))).alias("stays"), F.count("*").alias("n"))
-    rows = materialise(rows, "verdicts")
-    gone, again = rows.where("not stays").select("id", "at"), rows.where("stays and n > 1").select("id", "at")
-    own = {c: f"_own{i}" for i, c in enumerate(docs.columns)}
-    d = docs.withColumnsRenamed(own).withColumn("_at", row_hash(own[text_col], own[id_col]))
-    on = lambda other: d[own[id_col]].eqNullSafe(other["id"]) & (d["_at"] == other["at"])
-    out = d.join(gone, on(gone), "left_anti")
-    if again.limit(1).count():
-        out = out.join(again, on(again), "left_anti").unionByName(out.join(again, on(again), "left_semi").dropDuplicates([own[id_col], "_at"]))
-    return out.select(*(F.col(v).alias(k) for k, v in own.items()))
+    rows = materialise(rows.where("not stays or n > 1").withColumnRenamed("at", "mark"), "verdicts")
+    discard(placed_all)
+    named = [c for c in docs.columns]
+    hashed = lambda d: row_hash(d.columns[named.index(text_col)], d.columns[named.index(id_col)])
+    return drop_rows(docs, rows.where("not stays").select("id", "mark"), id_col, hashed, rows.where("stays").select("id", "mark"))
 
 
 def op2_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
