@@ -56,8 +56,8 @@ BROADCAST_ROWS = 400_000
 CLASS_TOKENS = 5
 #: Members of a block when the open members of a larger group are compared.
 BLOCK = 512
-#: Pairs of a member that are verified in each of so many rounds before all open pairs are.
-FEW, FEW_ROUNDS = 4, 2
+#: Pairs of a member of a larger group that are verified before all open pairs are.
+FEW = 4
 
 
 def least_overlap(n: int, threshold: int = THRESHOLD) -> int:
@@ -369,9 +369,8 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, i
     return sent.repartition("lead", "part").sortWithinPartitions("lead", "part", "member", "node").mapInArrow(_overlaps(threshold), "a long, b long")
 
 
-def possible(pairs: DataFrame, nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) that sizes and bitmaps of nodes (node, n, bits) don't rule out."""
-    one = nodes.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+def possible(pairs: DataFrame, one: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps of one (a row a node: node, n, bits) don't rule out."""
 
     def test(x: pa.Array, n: pa.Array, y: pa.Array, m: pa.Array) -> pa.Array:
         return pa.array([may_link(*v, threshold) for v in zip(x.to_pylist(), n.to_pylist(), y.to_pylist(), m.to_pylist(), strict=True)], pa.bool_())
@@ -449,31 +448,34 @@ def _compared(m: DataFrame, threshold: int, most: int | None) -> DataFrame:
     return m.mapInArrow(_compare(threshold, most), "a long, b long").distinct()
 
 
-def some_across(members: DataFrame, bits: DataFrame, threshold: int, most: int, salt: int, block: int = BLOCK) -> DataFrame:
-    """Likely pairs (a, b) of different parts among members (sig, node, n, part): of each member at most so many, within blocks that the salt deals."""
-    count = members.groupBy("sig").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks"))
-    m = members.join(bits, "node").join(count, "sig").withColumn("block", F.pmod(F.xxhash64("node", F.lit(salt)), F.col("blocks")).cast("int"))
+def some_across(members: DataFrame, bits: DataFrame, threshold: int, most: int, salt: int, least: int, block: int = BLOCK) -> DataFrame:
+    """Likely pairs (a, b) of different parts among members (sig, node, n, part) of groups of more than `least`: of each member at most so many, within blocks that the salt deals."""
+    count = members.groupBy("sig").agg(F.count("*").alias("c")).where(F.col("c") > least).select("sig", F.ceil(F.col("c") / F.lit(block)).cast("int").alias("blocks"))
+    m = members.join(count, "sig").withColumn("block", F.pmod(F.xxhash64("node", F.lit(salt)), F.col("blocks")).cast("int")).join(bits, "node")
     return _compared(m.withColumns({"band": F.lit(0), "lo": F.col("block"), "hi": F.col("block"), "own": F.lit(True)}), threshold, most)
 
 
 def all_across(members: DataFrame, bits: DataFrame, threshold: int, block: int = BLOCK) -> DataFrame:
     """All likely pairs (a, b) of different parts among members (sig, node, n, part) of a signature.
 
-    Sizes that can link lie in one band or in two next to each other: a band meets itself and
-    the one below. Of a band's group the members of its largest part do not meet each other:
-    blocks of the rest meet the rest's and the largest part's blocks, each such pair of
-    blocks a group of its own.
+    Groups of one block are compared as they are. Of larger ones, sizes that can link lie in
+    one band or in two next to each other: a band meets itself and the one below. Of a band's
+    group the members of its largest part do not meet each other: blocks of the rest meet the
+    rest's and the largest part's blocks, each such pair of blocks a group of its own.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / threshold)) + 1e-9).cast("int") if threshold < 100 else F.col("n")
-    m = members.withColumn("of", band).withColumn("band", F.explode(F.array(F.col("of"), F.col("of") + 1))).withColumn("own", F.col("of") == F.col("band"))
+    m = members.join(members.groupBy("sig").agg(F.count("*").alias("c")), "sig").withColumn("of", F.when(F.col("c") > block, band).otherwise(0))
+    m = m.withColumn("band", F.explode(F.when(F.col("c") > block, F.array(F.col("of"), F.col("of") + 1)).otherwise(F.array(F.lit(0))))).withColumn("own", F.col("of") == F.col("band")).drop("c")
     # groupwise counts, summed map-side: of parts, then of the group
     parts = m.groupBy("sig", "band", "part").agg(F.count("*").alias("c"), F.max("own").alias("any"))
     group = parts.groupBy("sig", "band").agg(F.max(F.struct("c", "part")).alias("top"), F.sum("c").alias("all"), F.max("any").alias("any"), F.count("*").alias("parts"))
-    group = group.where("any and parts > 1").select("sig", "band", F.col("top.part").alias("big"), F.ceil((F.col("all") - F.col("top.c")) / F.lit(block)).cast("int").alias("few"), F.ceil(F.col("top.c") / F.lit(block)).cast("int").alias("many"))
-    m = m.join(group, ["sig", "band"]).join(bits, "node").withColumn("in", F.col("part") == F.col("big"))
-    m = m.withColumn("block", F.when(F.col("in"), F.col("few") + F.pmod(F.xxhash64("node"), "many")).otherwise(F.pmod(F.xxhash64("node"), "few")).cast("int"))
+    rest = F.col("all") - F.col("top.c")
+    one = F.col("all") <= block
+    group = group.where("any and parts > 1").select("sig", "band", F.col("top.part").alias("big"), F.ceil(rest / F.lit(block)).cast("int").alias("few"), F.when(one, 0).otherwise(F.ceil(F.col("top.c") / F.lit(block))).cast("int").alias("many"))
+    m = m.join(group, ["sig", "band"]).withColumn("in", (F.col("part") == F.col("big")) & (F.col("many") > 0))
+    m = m.withColumn("block", F.when(F.col("in"), F.col("few") + F.pmod(F.xxhash64("node"), F.greatest(F.col("many"), F.lit(1)))).otherwise(F.pmod(F.xxhash64("node"), F.col("few"))).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("in"), F.col("few") - 1).otherwise(F.col("few") + F.col("many") - 1))))
-    return _compared(m.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")), threshold, None)
+    return _compared(m.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).join(bits, "node"), threshold, None)
 
 
 def linked(signed: DataFrame, nodes: DataFrame, check: Callable[[DataFrame], DataFrame], threshold: int, small_group: int = SMALL_GROUP) -> DataFrame:
@@ -485,19 +487,25 @@ def linked(signed: DataFrame, nodes: DataFrame, check: Callable[[DataFrame], Dat
     found = materialise(dealt.mapInArrow(_pairs(threshold, small_group), DEALT).drop("key"), "candidates")
     pairs = found.where(F.col("kind") == PAIR).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     pairs = materialise(pairs, "pairs")
-    links = materialise(check(materialise(possible(pairs, nodes, threshold), "likely")), "links")
-    big = found.where(F.col("kind") == MEMBER).select(F.col("x").alias("sig"), F.col("y").alias("node"), "n").distinct()
+    big = materialise(found.where(F.col("kind") == MEMBER).select(F.col("x").alias("sig"), F.col("y").alias("node"), "n").distinct(), "big")
+    # of the nodes that meet any other; most meet none
+    meet = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(big.select("node")).distinct()
+    one = materialise(nodes.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits")).join(meet, "node", "left_semi"), "bitmaps")
+    likely = materialise(possible(pairs, one, threshold), "likely")
+    links = materialise(check(likely), "links")
+    discard(likely, found)
     if not big.limit(1).count():
+        discard(one, big)
         return links
-    # first a few pairs of each member, dealt anew each time, which join most of what belongs together, then all that are still open
-    bits = nodes.groupBy("node").agg(F.first("bits").alias("bits"))
-    for salt in (*range(FEW_ROUNDS), None):
+    # first a few pairs of each member, dealt anew where there are many blocks, which join most of what belongs together, then all that are still open
+    bits = one.select("node", "bits")
+    for salt, least in ((0, 4 * FEW), (1, BLOCK), (None, 0)):
         part = connected_components(links, "parts")
         member = materialise(big.join(part, "node", "left").select("sig", "node", "n", F.coalesce("component", "node").alias("part")), "members")
         # near copies share many signatures: groups are merged by their smallest node, so that each pair is compared once, not once a signature
         split = member.groupBy("sig").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("node").alias("lead")).where("lo <> hi")
         open_ = materialise(member.join(split.select("sig", "lead"), "sig").select(F.col("lead").alias("sig"), "node", "n", "part").distinct(), "open")
-        across = all_across(open_, bits, threshold) if salt is None else some_across(open_, bits, threshold, FEW, salt)
+        across = all_across(open_, bits, threshold) if salt is None else some_across(open_, bits, threshold, FEW, salt, least)
         more = materialise(across.join(pairs, ["a", "b"], "left_anti"), "more")
         none_open = not open_.limit(1).count()
         discard(member, open_)
@@ -508,6 +516,7 @@ def linked(signed: DataFrame, nodes: DataFrame, check: Callable[[DataFrame], Dat
         pairs = pairs.union(more)
         links, before = materialise(links.union(check(more)), "all-links"), links
         discard(before)
+    discard(one, big)
     return links
 
 

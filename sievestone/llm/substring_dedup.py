@@ -32,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import FOLD, SHINGLE_WORDS, connected_components, long_array, map_rows, materialise, mix, shingle_sequence, text_bytes, texts, word_hashes
-from .ngram_join import BROADCAST_ROWS, DEALT, NODE, bitmap, least_overlap, linked, nodes_of, verify
+from ._common import FOLD, SHINGLE_WORDS, connected_components, discard, long_array, map_rows, materialise, mix, shingle_sequence, text_bytes, texts, word_hashes
+from .ngram_join import BROADCAST_ROWS, DEALT, LEAST_IN_BATCH, NODE, bitmap, least_overlap, linked, nodes_of, verify
 
 LEAST_WORDS, BANDS, ROWS_PER_BAND, THRESHOLD = 25, 6, 3, 80
 #: Words of a seed, fewer where a shared run may be shorter.
 SEED_WORDS = 10
+#: Bound of the most frequent seeds, whose rows are judged where they lie.
+HOT_SEEDS = 1 << 16
 
 
 def seed_shape(least_words: int, threshold: int) -> tuple[int, int]:
@@ -57,28 +59,112 @@ def anchors(seeds: np.ndarray, among: int) -> np.ndarray:
     return np.unique(np.argmin(view, axis=1) + np.arange(len(view)))
 
 
-def _seeds(least_words: int, threshold: int):
+#: Rows of a text: an anchor; a line; and, of a batch of texts, a seed that it holds often (`n` times).
+SEED, LINE, OFTEN = 0, 1, 2
+UNITS = "kind byte, id long, at long, key long, first int, line int, words int, n int, bands array<long>, bits binary"
+
+
+def _units(least_words: int, threshold: int, bands: int, rows_per_band: int):
+    """Each text's anchors, and its lines of `least_words` words or more with their MinHash bands and bitmaps; words are hashed once."""
     width, among = seed_shape(least_words, threshold)
+    odd = mix(np.arange(1, bands * rows_per_band + 1, dtype=np.uint64)) | np.uint64(1)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, starts, sizes = [], [], []
-        for text in texts(batch.column(2)):
-            words = text.translate(FOLD).split()
-            if len(words) < least_words:
-                sizes.append(0)
+        keys, starts, of = [], [], []
+        row, line, first, words, sets, bits = [], [], [], [], [], []
+        for r, text in enumerate(texts(batch.column(2))):
+            folded = text.translate(FOLD)
+            own = folded.split()
+            if len(own) < least_words:
                 continue
-            seeds = shingle_sequence(word_hashes(words), width)
+            hashes = word_hashes(own)
+            seeds = shingle_sequence(hashes, width)
             at = anchors(seeds, among)
             keys.append(seeds[at])
             starts.append(at)
-            sizes.append(len(at))
-        rows = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            of.append(np.full(len(at), r))
+            sizes = [len(part.split()) for part in folded.split(b"\n")]
+            if max(sizes) < least_words:
+                continue
+            shingles, done = shingle_sequence(hashes), 0
+            for i, n in enumerate(sizes):
+                if n >= least_words:
+                    row.append(r)
+                    line.append(i)
+                    first.append(done)
+                    words.append(n)
+                    sets.append(np.unique(shingles[done : done + n - SHINGLE_WORDS + 1]))
+                    bits.append(bitmap(sets[-1]))
+                done += n
         none = np.empty(0, dtype=np.uint64)
-        return pa.record_batch([batch.column(0).take(rows), batch.column(1).take(rows), long_array(np.concatenate(keys or [none])), pa.array(np.concatenate(starts or [none]).astype(np.int32))], ["id", "at", "key", "first"])
+        size = np.array([len(x) for x in sets], dtype=np.int64)
+        tokens, begins = np.concatenate(sets or [none]), np.cumsum(size) - size
+        node = nodes_of(tokens, begins, size)
+        band = np.tile(np.arange(bands, dtype=np.uint64), (len(sets), 1))
+        for k, factor in enumerate(odd if sets else ()):
+            # tokens are spread over all bits already, and the least is told by the highest ones
+            least = np.minimum.reduceat(tokens * factor, begins)
+            band[:, k // rows_per_band] = mix(band[:, k // rows_per_band] * np.uint64(0x9E3779B97F4A7C15) + least)
+        key, start = np.concatenate(keys or [none]), np.concatenate(starts or [none]).astype(np.int32)
+        often, times = np.unique(key, return_counts=True)
+        often, times = (v[times >= LEAST_IN_BATCH] for v in (often, times))
+        m, k, o = len(key), len(sets), len(often)
+        pick = pa.array(np.concatenate([np.empty(0, dtype=np.int64), *of, np.array(row, dtype=np.int64), np.zeros(o, dtype=np.int64)]).astype(np.int64))
+        lines = lambda values, kind, rest=None: pa.concat_arrays([pa.nulls(m, kind), pa.array(values, kind), pa.nulls(o, kind) if rest is None else pa.array(rest, kind)])
+        offsets = pa.array(np.concatenate([np.zeros(m + 1), np.arange(1, k + 1) * bands, np.full(o, k * bands)]).astype(np.int32))
+        return pa.record_batch(
+            [
+                pa.array(np.repeat(np.array([SEED, LINE, OFTEN], dtype=np.int8), [m, k, o])), batch.column(0).take(pick), batch.column(1).take(pick), long_array(np.concatenate([key, node, often])),
+                pa.array(np.concatenate([start, np.array(first, dtype=np.int32), np.zeros(o, dtype=np.int32)])), lines(line, pa.int32()), lines(words, pa.int32()), lines(size.astype(np.int32), pa.int32(), times.astype(np.int32)),
+                pa.ListArray.from_arrays(offsets, long_array(band.reshape(-1))), lines(bits, pa.binary()),
+            ],
+            ["kind", "id", "at", "key", "first", "line", "words", "n", "bands", "bits"],
+        )
 
     return work
 
 
+def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stream (key, id, at, first), sorted: (lead, lead_id, at, id, shift) of the rows behind each key's first row."""
+    last = None  # key, id, at, first of the key that the batch before ended in
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, at, first = (batch.column(k).to_numpy() for k in (0, 2, 3))
+        begin = np.concatenate(([True], key[1:] != key[:-1]))
+        if last is not None and key[0] == last[0]:
+            begin[0] = False
+        lead = np.maximum.accumulate(np.where(begin, np.arange(len(key)), -1))
+        old = lead < 0
+        lead_at, lead_first = at[lead], first[lead]
+        if old.any():
+            lead_at[old], lead_first[old] = last[2], last[3]
+        behind = at != lead_at
+        ids = batch.column(1)
+        lead_ids = ids.take(pa.array(np.maximum(lead, 0)))
+        if old.any():
+            lead_ids = pa.concat_arrays([pa.array([last[1]] * int(old.sum()), pa.int64()), lead_ids.slice(int(old.sum()))])
+        last = (key[-1], lead_ids[-1].as_py(), lead_at[-1], lead_first[-1])
+        pick = pa.array(behind)
+        yield pa.record_batch([pa.array(lead_at[behind]), lead_ids.filter(pick), pa.array(at[behind]), ids.filter(pick), pa.array((lead_first - first)[behind])], ["lead", "lead_id", "at", "id", "shift"])
+
+
+def seed_pairs(seeds: DataFrame, often: DataFrame, most_hot: int = HOT_SEEDS) -> DataFrame:
+    """(lead, lead_id, at, id, shift) for each seed (id, at, key, first) of a row other than the key's smallest, which leads.
+
+    often: (key, n) of seeds that batches of texts hold often. The most frequent keys, of a bounded number, are judged where their rows lie; all others
+    are shuffled once and streamed past their first row.
+    """
+    hot = materialise(often.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(most_hot).select("key"), "hot-seeds")
+    out = "lead long, lead_id long, at long, id long, shift int"
+    cold = seeds.join(F.broadcast(hot), "key", "left_anti").select("key", "id", "at", "first")
+    pairs = cold.repartition("key").sortWithinPartitions("key", "id", "at", "first").mapInArrow(_follow, out)
+    mine = seeds.join(F.broadcast(hot), "key")
+    stay = mine.groupBy("key").agg(F.min(F.struct("id", "at", "first")).alias("stay"))
+    near = mine.join(F.broadcast(stay), "key").where(F.col("at") != F.col("stay.at"))
+    return pairs.union(near.select(F.col("stay.at"), F.col("stay.id"), "at", "id", F.col("stay.first") - F.col("first")))
+
+
 def shared_runs(own: np.ndarray, other: np.ndarray, shifts: list[int]) -> list[tuple[int, int, int]]:
     """Maximal runs (first in own, first in other, length) of equal shingles, in order, of the alignments other = own + shift."""
     out = []
@@ -93,26 +179,42 @@ def shared_runs(own: np.ndarray, other: np.ndarray, shifts: list[int]) -> list[t
 
 def chains(runs: list[tuple[int, int, int]], threshold: int) -> list[list[tuple[int, int, int]]]:
     """The runs, trimmed to follow one another in both sequences, in chains whose gaps what they share can make up for."""
-    longest, live, out = max((n for *_, n in runs), default=0), [], []
+    if len(runs) < 2:
+        return [list(runs)] if runs else []
+    longest, least, out = max(n for *_, n in runs), 100 - threshold, []
+    live: list[list[int]] = []  # end in own, end in other, shared, number
     for p, q, n in runs:
         best = None
         for c in live:
-            x, y, m = c[1][-1]
-            a, b = p - x - m, q - y - m
-            cut = max(0, -a, -b)
-            if cut < n and (a + b + 2 * cut) * threshold <= (c[0] + n - cut) * (100 - threshold) and (best is None or (a + b + 3 * cut) < best[0]):
-                best = (a + b + 3 * cut, cut, c)
+            a, b = p - c[0], q - c[1]
+            # gaps that the runs leave open in both, and what of the run lies behind the chain
+            low = a if a < b else b
+            cost, cut = (a + b, 0) if low >= 0 else (a - b if a > b else b - a, -low)
+            if cut < n and cost * threshold <= (c[2] + n - cut) * least and (best is None or cost + cut < best[0]):
+                best = (cost + cut, cut, c)
         if best is None:
-            live.append([n, [(p, q, n)]])
-            out.append(live[-1][1])
+            live.append([p + n, q + n, n, len(out)])
+            out.append([(p, q, n)])
         else:
             _, cut, c = best
-            c[0] += n - cut
-            c[1].append((p + cut, q + cut, n - cut))
-        live = [c for c in live if (p - c[1][-1][0] - c[1][-1][2]) * threshold <= (c[0] + longest) * (100 - threshold)]
+            out[c[3]].append((p + cut, q + cut, n - cut))
+            c[0], c[1], c[2] = p + n, q + n, c[2] + n - cut
+        if (p - live[0][0]) * threshold > (live[0][2] + longest) * least or len(live) % 32 == 0:
+            live = [c for c in live if (p - c[0]) * threshold <= (c[2] + longest) * least]
     return out
 
 
+def merged(spans: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(first, words) of what overlapping or touching spans (first, words) cover."""
+    out: list[list[int]] = []
+    for first, words in sorted(spans):
+        if out and first <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], first + words)
+        else:
+            out.append([first, first + words])
+    return [(first, end - first) for first, end in out]
+
+
 def links(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
     x, y = np.unique(x), np.unique(y)
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -146,24 +248,30 @@ def _align(least_words: int, threshold: int):
     """Stream (lead, part, member, at, id, lead_id, shifts, text), each part's leader first: spans of both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead, other, seen = None, None, None
+        lead, other, whole, seen = None, None, None, None
         for batch in batches:
             out, spans = {"at": [], "id": [], "kept_in": []}, []
             for key, member, at, id_, lead_id, shifts, text in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5, 6)), texts(batch.column(7)), strict=True):
                 if (key, at) == (lead, seen):
                     continue
                 seen = at
-                own = shingle_sequence(word_hashes(text.translate(FOLD).split()))
+                folded = text.translate(FOLD)
+                if member and key != lead:
+                    raise ValueError("a leader's text is missing")
+                if member and folded == whole:
+                    own, shifts = other, [0, *shifts]
+                else:
+                    own = shingle_sequence(word_hashes(folded.split()))
                 if not member:
-                    lead, other = key, own
+                    lead, other, whole = key, own, folded
                     continue
-                if key != lead:
-                    raise ValueError("a leader's text is missing")
-                for p, n, q, m in passages(own, other, shifts, least_words, threshold):
-                    out["at"] += [at, key]
-                    out["id"] += [id_, lead_id]
-                    out["kept_in"] += [lead_id, lead_id]
-                    spans += [(p, n, True), (q, m, False)]
+                found = passages(own, other, shifts, least_words, threshold)
+                for who, whose, removed, own_spans in ((at, id_, True, {(p, n) for p, n, _, _ in found}), (key, lead_id, False, {(q, m) for _, _, q, m in found})):
+                    for p, n in merged(own_spans):
+                        out["at"].append(who)
+                        out["id"].append(whose)
+                        out["kept_in"].append(lead_id)
+                        spans.append((p, n, removed))
             first, words, removed = zip(*spans, strict=True) if spans else ((), (), ())
             yield pa.record_batch(
                 [pa.array(out["id"], pa.int64()), pa.array(out["at"], pa.int64()), pa.array(first, pa.int32()), pa.array(words, pa.int32()), pa.array(out["kept_in"], pa.int64()), pa.array(removed, pa.bool_())],
@@ -173,11 +281,9 @@ def _align(least_words: int, threshold: int):
     return run
 
 
-def aligned(seeds: DataFrame, docs: DataFrame, text_col: str, id_col: str, least_words: int, threshold: int, part: int = 256) -> DataFrame:
+def aligned(seeds: DataFrame, often: DataFrame, docs: DataFrame, text_col: str, id_col: str, least_words: int, threshold: int, part: int = 256) -> DataFrame:
     """Spans (id, at, first, words, kept_in, removed) of the passages that rows share with the smallest row of one of their seeds (id, at, key, first)."""
-    stay = seeds.groupBy("key").agg(F.min(F.struct("id", "at", "first")).alias("stay"), F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo <> hi").select("key", "stay")
-    hits = seeds.join(stay, "key").where(F.col("at") != F.col("stay.at"))
-    pairs = hits.groupBy(F.col("stay.at").alias("lead"), "at").agg(F.first("id").alias("id"), F.first("stay.id").alias("lead_id"), F.collect_set(F.col("stay.first") - F.col("first")).alias("shifts"))
+    pairs = seed_pairs(seeds, often).groupBy("lead", "at").agg(F.first("id").alias("id"), F.first("lead_id").alias("lead_id"), F.collect_set("shift").alias("shifts"))
     pairs = materialise(pairs, "seed-pairs")
     # as in verify: a leader's members are salted, the leader goes to every part
     leads = pairs.groupBy("lead").agg(F.first("lead_id").alias("lead_id"), F.ceil(F.count("*") / F.lit(part)).alias("parts"))
@@ -191,42 +297,6 @@ def aligned(seeds: DataFrame, docs: DataFrame, text_col: str, id_col: str, least
     return sent.repartition("lead", "part").sortWithinPartitions("lead", "part", "member", "at").mapInArrow(_align(least_words, threshold), "id long, at long, first int, words int, kept_in long, removed boolean")
 
 
-def _lines(least_words: int, bands: int, rows_per_band: int):
-    seeds = mix(np.arange(1, bands * rows_per_band + 1, dtype=np.uint64))
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, line, first, words, sets, bits = [], [], [], [], [], []
-        for r, text in enumerate(texts(batch.column(2))):
-            sizes = [len(part.split()) for part in text.split(b"\n")]
-            if max(sizes) < least_words:
-                continue
-            shingles, done = shingle_sequence(word_hashes(text.translate(FOLD).split())), 0
-            for i, n in enumerate(sizes):
-                if n >= least_words:
-                    row.append(r)
-                    line.append(i)
-                    first.append(done)
-                    words.append(n)
-                    sets.append(np.unique(shingles[done : done + n - SHINGLE_WORDS + 1]))
-                    bits.append(bitmap(sets[-1]))
-                done += n
-        size = np.array([len(x) for x in sets], dtype=np.int64)
-        tokens, starts = np.concatenate(sets or [np.empty(0, dtype=np.uint64)]), np.cumsum(size) - size
-        node = nodes_of(tokens, starts, size)
-        band = np.tile(np.arange(bands, dtype=np.uint64), (len(sets), 1))
-        for k, seed in enumerate(seeds if sets else ()):
-            least = np.minimum.reduceat(mix(tokens ^ seed), starts)
-            band[:, k // rows_per_band] = mix(band[:, k // rows_per_band] * np.uint64(0x9E3779B97F4A7C15) + least)
-        pick = pa.array(row, pa.int64())
-        flat = long_array(band.reshape(-1))
-        return pa.record_batch(
-            [batch.column(0).take(pick), batch.column(1).take(pick), pa.array(line, pa.int32()), pa.array(first, pa.int32()), pa.array(words, pa.int32()), long_array(node), pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(pa.array(range(0, bands * len(row) + 1, bands), pa.int32()), flat), pa.array(bits, pa.binary())],
-            ["id", "at", "line", "first", "words", "node", "n", "bands", "bits"],
-        )
-
-    return work
-
-
 def _repeated(units: DataFrame, key: str) -> DataFrame:
     """units (id, at, key, first, words) whose key occurs in other rows, with the one that stays."""
     stay = units.groupBy(key).agg(F.min(F.struct("id", "at")).alias("stay"), F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo <> hi").select(key, "stay")
@@ -257,16 +327,18 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     """One row per repeated span: id, at (hash of id and text), first_word, end_word, kept_in (smallest id of a copy), removed."""
     at = F.xxhash64(F.col(id_col), text_bytes(text_col)).alias("at")
     base = [F.col(id_col).cast("long").alias("id"), at, text_bytes(text_col).alias("text")]
-    seeds = materialise(map_rows(docs, base, _seeds(least_words, threshold), "id long, at long, key long, first int"), "seeds")
-    passed = materialise(aligned(seeds, docs, text_col, id_col, least_words, threshold), "passages")
+    units = materialise(map_rows(docs, base, _units(least_words, threshold, bands, rows_per_band), UNITS), "units")
+    passed = materialise(aligned(units.where(F.col("kind") == SEED).select("id", "at", "key", "first"), units.where(F.col("kind") == OFTEN).select("key", "n"), docs, text_col, id_col, least_words, threshold), "passages")
 
-    lines = map_rows(docs, base, _lines(least_words, bands, rows_per_band), "id long, at long, line int, first int, words int, node long, n int, bands array<long>, bits binary")
-    lines = materialise(lines, "long-lines")
-    signed = lines.select(F.explode("bands").alias("key"), F.col("node").alias("x"), "n").distinct().select("key", F.lit(NODE).cast("byte").alias("kind"), "x", F.lit(0).cast("long").alias("y"), "n", F.lit(0).alias("q"))
+    lines = units.where(F.col("kind") == LINE).select("id", "at", "line", "first", "words", F.col("key").alias("node"), "n", "bands", "bits")
+    nodes = lines.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
+    nodes = materialise(nodes, "line-nodes")
+    signed = nodes.select(F.explode("bands").alias("key"), F.lit(NODE).cast("byte").alias("kind"), F.col("node").alias("x"), F.lit(0).cast("long").alias("y"), "n", F.lit(0).alias("q"))
     assert ", ".join(f"{n} {t}" for n, t in signed.dtypes).replace("bigint", "long").replace("tinyint", "byte") == DEALT
     where = lines.select("node", "at", "line")
     pick = F.element_at(F.split("text", "\n"), F.col("line") + 1)
-    links = linked(signed, lines.select("node", F.col("n").cast("long").alias("n"), "bits"), lambda pairs: verify(pairs, where, docs, text_col, id_col, threshold, pick=pick), threshold)
+    links = linked(signed, nodes.select("node", F.col("n").cast("long").alias("n"), "bits"), lambda pairs: verify(pairs, where, docs, text_col, id_col, threshold, pick=pick), threshold)
+    discard(nodes)
     part = connected_components(links, "paragraphs")
     clustered = lines.join(part, "node", "left").select("id", "at", "first", "words", F.coalesce("component", "node").alias("cluster"))
 
