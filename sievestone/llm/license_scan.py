@@ -4,8 +4,8 @@ The automaton of all templates and phrases is built once (its size depends on th
 templates alone) and broadcast. A text's words stream through it: at every word it knows
 the longest run ending there that occurs in some template (matching statistics). A phrase
 stands where the state's run ends with the whole phrase. Long runs are chained per
-template, in template order and within a bounded gap, into covered spans; a template
-whose coverage reaches `least_cover` gives its label.
+template, in template order and within a bounded gap, into covered spans: one for every
+copy of a template that reaches `least_cover`, which gives its label, else the best one.
 
 Words: A-Z lowered, runs of digits, a-z and characters beyond ASCII.
 
@@ -161,7 +161,7 @@ class Scanner:
         return places, runs
 
     def spans(self, runs) -> list[tuple[str, int, int, float]]:
-        """(label, first word, end, coverage) of the best chain of each template."""
+        """(label, first word, end, coverage) of every chain that reaches `least_cover`, or of the template's best one if none does."""
         by_template: dict[int, list[tuple[int, int, int]]] = {}
         for start, size, state in runs:
             for t, ends in self.where[state].items():
@@ -169,7 +169,8 @@ class Scanner:
                     by_template.setdefault(t, []).append((start, size, at - size))
         out = []
         for t, hits in by_template.items():
-            total, best = len(self.templates[t][1]), None
+            total = len(self.templates[t][1])
+            best: dict[int, tuple[int, int, int]] = {}  # by its first word, the chain's widest: covered, first, end
             chains: list[tuple[int, int, int, int]] = []  # in reach: covered, first, end in the text, end in the template
             for start, size, at in sorted(hits):
                 covered, first = 0, start
@@ -178,10 +179,15 @@ class Scanner:
                     if c[2] <= start <= c[2] + self.widest_gap and c[3] <= at <= c[3] + self.widest_gap and c[0] > covered:
                         covered, first = c[0], c[1]
                 chains.append((covered + size, first, start + size, at + size))
-                if best is None or chains[-1][0] > best[0]:
-                    best = chains[-1]
-            if best:
-                out.append((self.templates[t][0], best[1], best[2], min(1.0, best[0] / total)))
+                if first not in best or chains[-1][0] > best[first][0]:
+                    best[first] = (chains[-1][0], first, start + size)
+            taken: list[tuple[int, int]] = []
+            for covered, first, end in sorted(best.values(), key=lambda c: (-c[0], c[1])):
+                if taken and covered < self.least_cover * total:
+                    break
+                if all(end <= x or first >= y for x, y in taken):
+                    taken.append((first, end))
+                    out.append((self.templates[t][0], first, end, min(1.0, covered / total)))
         return sorted(out)
 
 
