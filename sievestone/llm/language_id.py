@@ -6,8 +6,8 @@ whole length; every block is compressed with every dictionary, and the language
 smallest total wins. The margin is the share by which the runner-up is larger; texts with
 a margin under `least_margin`, with no letter or with no text are rejected.
 
-Bound of the sample (parameters): `dictionary_bytes` and `sample_docs` per language, and the
-`most_languages` most frequent languages. All else covers all rows and whole texts.
+Bound of the sample (parameters): `dictionary_bytes` and `sample_docs` per language, and
+`all_bytes` over all languages, which share it. All else covers all rows and whole texts.
 
 Defined results: null text or text without letters gives `und` with score 0; a null id is
 never learned from and never held out; with one learned language its score is 1; with
@@ -24,7 +24,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_DOCS, DICTIONARY_BYTES, MOST_LANGUAGES = 800, 192 * 1024, 64
+from ._common import materialise
+
+#: Bounds of the training sample: rows and dictionary bytes a language, and bytes of all dictionaries, which are broadcast.
+SAMPLE_DOCS, DICTIONARY_BYTES, ALL_BYTES = 800, 192 * 1024, 48 << 20
 #: Bytes of a block, zstandard's level, and the margin below which a text is rejected.
 BLOCK, LEVEL = 4096, 6
 LEAST_MARGIN = 0.003
@@ -35,29 +38,31 @@ def fold(id_col: str) -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(FOLDS))
 
 
-def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS, dictionary_bytes: int = DICTIONARY_BYTES, most_languages: int = MOST_LANGUAGES) -> list[tuple[str, bytes]]:
-    """(language, dictionary), from a sample that depends on ids alone.
+def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS, dictionary_bytes: int = DICTIONARY_BYTES, all_bytes: int = ALL_BYTES) -> list[tuple[str, bytes]]:
+    """(language, dictionary) of every language, from a sample that depends on ids and texts alone.
 
-    The sample's ids are ranked without the texts; only the ranked rows' texts are read
-    back, cut to a documented share of the dictionary each.
+    Rows are drawn by a hash: first by a threshold on it from each language's count, so that
+    about twice `sample_docs` rows a language are ranked, not all. Whole texts, smallest hash
+    first, fill the dictionary until its bytes are reached; what is read back is bounded by
+    the dictionaries' sizes.
     """
-    usable = labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    common = usable.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(most_languages)
-    ids = usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h")).join(F.broadcast(common.select(F.col(lang_col).alias("lang"))), "lang", "left_semi")
-    ranked = ids.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("rank") <= sample_docs)
-    share = F.substring(F.col(text_col).cast("string"), 1, max(1, 4 * dictionary_bytes // sample_docs))
-    rows = (
-        usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), share.alias("text"))
-        .join(F.broadcast(ranked.select("id", "lang", "rank")), ["id", "lang"])
-        .orderBy("lang", "rank", "text")
-        .limit(sample_docs * most_languages)
-        .collect()
-    )
+    named = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    usable = named.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & (F.length("text") > 0))
+    counts = materialise(usable.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    each = max(1, min(dictionary_bytes, all_bytes // max(1, counts.count())))
+    h = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40))
+    drawn = usable.withColumn("h", h).join(F.broadcast(counts), "lang").where(F.col("h") * F.col("n") <= F.lit(float(2 * sample_docs + 100) * (1 << 40)))
+    # characters, at least one byte each: a text longer than the dictionary fills it
+    drawn = drawn.select("lang", "h", F.length("text").alias("size"), F.substring("text", 1, each).alias("text"))
+    order = Window.partitionBy("lang").orderBy("h", "text")
+    drawn = drawn.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_docs)
+    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = drawn.withColumn("before", before).where(F.col("before") < 2 * each).orderBy("lang", "rank").select("lang", "text").collect()
     out: dict[str, bytes] = {}
     for r in rows:
-        if len(out.setdefault(r["lang"], b"")) < dictionary_bytes:
+        if len(out.setdefault(r["lang"], b"")) < each:
             out[r["lang"]] += letters(r["text"]) + b"\n"
-    return [(lang, text[:dictionary_bytes]) for lang, text in sorted(out.items()) if text.strip()]
+    return [(lang, text[:each]) for lang, text in sorted(out.items()) if text.strip()]
 
 
 _NO_LETTERS = re.compile(r"[\W\d_]+")
