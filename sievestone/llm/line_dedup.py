@@ -2,11 +2,11 @@
 
 A line's key is the line without white space at both ends, A-Z lowered; keys of at least
 `min_chars` code points found in at least `min_docs` documents lose all their lines except
-in the largest id that holds them. Keys are 128-bit hashes. The frequent ones are dealt
+in the largest id that holds them. Keys are 128-bit hashes. All distinct ones are dealt
 over shards of bounded size; each shard is a minimal perfect hash (levels of bit arrays,
 rank by prefix sums) over compact arrays: fingerprint, document count, keeping id.
-Documents send 16-byte probes, never lines, to the shards: a shard's index travels once
-and its probes stream past it. The `hot` most frequent keys (a fixed bound) form a shard
+Documents send 16-byte probes, never lines, to the shards: a shard's index travels once,
+its probes stream past it, and count and keeping id decide. The `hot` most frequent keys (a fixed bound) form a shard
 of their own that is broadcast, so no key's probes gather in one task.
 
 Defined results: null and empty text are one empty line; every row is a document, rows of
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import FOLD, map_rows, materialise, mix, text_bytes, texts
+from ._common import FOLD, map_rows, materialise, mix, possibly, text_bytes, texts
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Keys of one shard, and keys of the broadcast shard.
@@ -132,22 +132,22 @@ def _index(table: pa.Table) -> PerfectHash:
     return PerfectHash.build(h1 ^ mix(h2), prints=h2, count=_longs(table["n"].combine_chunks()), keep=_longs(table["keep"].combine_chunks(), NO_ID))
 
 
-def build_shards(frequent: DataFrame, shards: int) -> DataFrame:
+def build_shards(keys: DataFrame, shards: int) -> DataFrame:
     """One row per shard: its number and its serialised index."""
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "blob": pa.array([_index(table).dump()], pa.binary())})
 
-    return frequent.withColumn("shard", F.pmod("h1", F.lit(shards).cast("long"))).groupBy("shard").applyInArrow(build, "shard long, blob binary")
+    return keys.withColumn("shard", F.pmod("h1", F.lit(shards).cast("long"))).groupBy("shard").applyInArrow(build, "shard long, blob binary")
 
 
-def _verdict(index: PerfectHash, ids: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _verdict(index: PerfectHash, ids: np.ndarray, h1: np.ndarray, h2: np.ndarray, min_docs: int) -> tuple[np.ndarray, np.ndarray]:
     """Which probes are indexed, and which of them lose the line."""
     prints = h2.view(np.uint64)
     at = index.probe(h1.view(np.uint64) ^ mix(prints), prints)
     known = at >= 0
     lose = known.copy()
-    lose[known] = index.arrays["keep"][at[known]] != ids[known]
+    lose[known] = (index.arrays["count"][at[known]] >= min_docs) & (index.arrays["keep"][at[known]] != ids[known])
     return known, lose
 
 
@@ -156,24 +156,23 @@ def dropped_keys(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     spark = docs.sparkSession
     lines = map_rows(docs, [F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text")], _doc_keys(min_chars), "id long, h1 long, h2 long")
     lines = materialise(lines, "lines")
-    frequent = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("keep")).where(F.col("n") >= min_docs)
-    frequent = materialise(frequent, "frequent")
-    hot = frequent.orderBy(F.desc("n"), "h1", "h2").limit(hot_keys).toArrow()
+    keys = materialise(lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("keep")), "keys")
+    hot = keys.orderBy(F.desc("n"), "h1", "h2").limit(hot_keys).toArrow()
     sent = spark.sparkContext.broadcast(_index(hot).dump())
-    shards = max(1, math.ceil(frequent.count() / shard_keys))
+    shards = max(1, math.ceil(keys.count() / shard_keys))
     if hot.num_rows == hot_keys:
         last = {k: hot[k][-1].as_py() for k in ("n", "h1", "h2")}
         colder = (F.col("n") < last["n"]) | ((F.col("n") == last["n"]) & ((F.col("h1") > last["h1"]) | ((F.col("h1") == last["h1"]) & (F.col("h2") > last["h2"]))))
-        rest = frequent.where(colder)
+        rest = keys.where(colder)
     else:
-        rest = frequent.where(F.lit(False))
+        rest = keys.where(F.lit(False))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = PerfectHash.load(sent.value)
         for batch in batches:
             h1, h2 = _longs(batch.column(1)), _longs(batch.column(2))
-            known, lose = _verdict(index, _longs(batch.column(0), NO_ID), h1, h2)
-            pick = pa.array(np.nonzero(lose | ~known)[0])
+            known, lose = _verdict(index, _longs(batch.column(0), NO_ID), h1, h2, min_docs)
+            pick = pa.array(np.nonzero(lose | ~known)[0])  # what the hot shard knows and keeps is settled
             yield pa.record_batch([*(c.take(pick) for c in batch.columns), pa.array(lose).take(pick)], ["id", "h1", "h2", "lose"])
 
     judged = lines.mapInArrow(first, "id long, h1 long, h2 long, lose boolean")
@@ -197,7 +196,7 @@ def dropped_keys(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
                     if index is None or lo == hi:
                         continue
                     part = batch.slice(lo, hi - lo)
-                    _, lose = _verdict(index, _longs(part.column(2), NO_ID), _longs(part.column(3)), _longs(part.column(4)))
+                    _, lose = _verdict(index, _longs(part.column(2), NO_ID), _longs(part.column(3)), _longs(part.column(4)), min_docs)
                     pick = pa.array(np.nonzero(lose)[0])
                     yield pa.record_batch([part.column(k).take(pick) for k in (2, 3, 4)], ["id", "h1", "h2"])
 
@@ -235,8 +234,14 @@ def deduplicate_lines(docs: DataFrame, text_col: str = "text", id_col: str = "do
     """One row per row of docs: id, n_lines, n_dropped, kept_text."""
     gone = materialise(dropped_keys(docs, text_col, id_col, min_docs, min_chars, **shards), "gone").withColumnRenamed("id", "of")
     d = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"))
-    both = d.join(gone, d["id"].eqNullSafe(gone["of"]), "left")
-    return map_rows(both, [F.col("id"), F.col("text"), F.col("drop")], _strip(min_chars), "id long, n_lines long, n_dropped long, kept_text string")
+    schema, drop = "id long, n_lines long, n_dropped long, kept_text string", F.lit(None).cast(gone.schema["drop"].dataType).alias("drop")
+    parts = possibly(d, gone.select(F.xxhash64("of").alias("key")), F.xxhash64("id"))
+    if parts is None:
+        return map_rows(d, [F.col("id"), F.col("text"), drop], _strip(min_chars), schema)
+    # only texts that may lose a line are shuffled
+    some, rest = parts
+    both = some.join(gone, some["id"].eqNullSafe(gone["of"]), "left").select("id", "text", "drop").unionByName(rest.select("id", "text", drop))
+    return map_rows(both, [F.col("id"), F.col("text"), F.col("drop")], _strip(min_chars), schema)
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
