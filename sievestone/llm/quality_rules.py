@@ -21,12 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import FOLD, long_array, map_rows, materialise, shingle_sequence, text_bytes, texts, word_hashes
+from ._common import FOLD, long_array, map_rows, materialise, possibly, shingle_sequence, text_bytes, texts, word_hashes
 
 #: A line of more than this percentage of the host's different documents, and of more than so many, is boilerplate.
 LINE_SHARE, LEAST_DOCS = 2, 10
 #: A document is depleted when boilerplate has at least this percentage of its words.
 DEPLETED = 80
+#: Bound of the boilerplate lines that are broadcast.
+HOT_LINES = 1 << 16
 #: The base rules: fewest words, widest share of words in repeated windows (percent), words of a window.
 FEWEST_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
 SYMBOLS = b"#*$%&|<>"
@@ -79,11 +81,11 @@ def _measure(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.record_batch([batch.column(0), batch.column(1), *(pa.array(v, pa.int64()) for v in out.values()), content, *lists], ["id", "host", *out, "content", "lines", "line_words"])
 
 
-def judge(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", host_col: str = "source", line_share: int = LINE_SHARE, least_docs: int = LEAST_DOCS, depleted: int = DEPLETED) -> DataFrame:
-    """One row per row of docs: id, host, the measures, boilerplate_words, base_failed, depleted, kept."""
+def _surveyed(docs: DataFrame, text_col: str, id_col: str, host_col: str, line_share: int, least_docs: int) -> tuple[DataFrame, DataFrame]:
+    """(measured rows, their lines (row, line, words) that are boilerplate of their host)."""
     measured = map_rows(
         docs, [F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), text_bytes(text_col).alias("text")], _measure,
-        "id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, content long, lines array<long>, line_words array<long>",
+        f"id {docs.schema[id_col].dataType.simpleString()}, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, content long, lines array<long>, line_words array<long>",
     )
     measured = materialise(measured.withColumn("row", F.monotonically_increasing_id()).withColumn("host", F.coalesce(F.concat(F.lit("="), "host"), F.lit(""))), "measured")
     # one row of those alike in host and content; the same again as a semi-join, so that no array is shuffled
@@ -91,14 +93,72 @@ def judge(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", host_
     different = first.groupBy("host").agg(F.count("*").alias("n_docs"))
     lines = measured.select("row", "host", F.explode("lines").alias("line"))
     common = lines.join(first.select("row"), "row", "left_semi").groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > least_docs)
-    common = materialise(common.join(different, "host").where(100 * F.col("n") > line_share * F.col("n_docs")).select("host", "line"), "boilerplate")
+    common = materialise(common.join(different, "host").where(100 * F.col("n") > line_share * F.col("n_docs")).select("host", "line", "n"), "boilerplate")
     cover = measured.select("row", "host", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select("row", "host", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words"))
-    lost = cover.join(common, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("boilerplate_words"))
-    out = measured.drop("lines", "line_words", "content").join(lost, "row", "left").fillna(0, "boilerplate_words")
+    # the lines of most documents, of a bounded number, are matched where they lie; no other holds many rows of a task
+    hot = materialise(common.orderBy(F.desc("n"), "host", "line").limit(HOT_LINES).select("host", "line"), "hot-lines")
+    lost = cover.join(F.broadcast(hot), ["host", "line"])
+    if common.count() > HOT_LINES:
+        cold = common.select("host", "line").join(F.broadcast(hot), ["host", "line"], "left_anti")
+        lost = lost.union(cover.join(F.broadcast(hot), ["host", "line"], "left_anti").join(cold, ["host", "line"]))
+    return measured, lost.select("row", "line", "words")
+
+
+def judge(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", host_col: str = "source", line_share: int = LINE_SHARE, least_docs: int = LEAST_DOCS, depleted: int = DEPLETED) -> DataFrame:
+    """One row per row of docs: id, host, the measures, boilerplate_words, base_failed, depleted, kept."""
+    measured, lines = _surveyed(docs, text_col, id_col, host_col, line_share, least_docs)
+    lost = lines.groupBy("row").agg(F.sum("words").alias("boilerplate_words"))
+    return _verdicts(measured.drop("lines", "line_words", "content").join(lost, "row", "left"), depleted).drop("row")
+
+
+def _verdicts(rows: DataFrame, depleted: int) -> DataFrame:
+    out = rows.fillna(0, "boilerplate_words")
     failed = (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     bare = (F.col("boilerplate_words") > 0) & (100 * F.col("boilerplate_words") >= depleted * F.col("n_words"))
     out = out.withColumn("base_failed", failed).withColumn("depleted", bare).withColumn("kept", ~failed & ~bare)
-    return out.withColumn("host", F.when(F.col("host") != "", F.expr("substring(host, 2)"))).drop("row")
+    return out.withColumn("host", F.when(F.col("host") != "", F.expr("substring(host, 2)")))
+
+
+def _without_lines(batch: pa.RecordBatch) -> pa.RecordBatch:
+    kept = []
+    for text, gone in zip(texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+        if gone:
+            gone = set(gone)
+            stay = []
+            for line in text.split(b"\n"):
+                w = line.translate(FOLD).split()
+                if not w or int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(w))).view(np.int64)) not in gone:
+                    stay.append(line)
+            text = b"\n".join(stay)
+        kept.append(text)
+    return pa.record_batch([batch.column(0), pa.array(kept, pa.binary()).cast(pa.string()), *batch.columns[3:]], ["id", "kept_text", "boilerplate_words"])
+
+
+def clean(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", host_col: str = "source", line_share: int = LINE_SHARE, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """One row per row of docs: id, kept_text (without its host's boilerplate lines), boilerplate_words (removed).
+
+    Only texts that may have such a line are shuffled.
+    """
+    measured, lines = _surveyed(docs, text_col, id_col, host_col, line_share, least_docs)
+    lost = lines.groupBy("row").agg(F.sum("words").alias("boilerplate_words"), F.collect_set("line").alias("gone"))
+    # rows alike in id, host and content have the same lines
+    host = F.when(F.col("host") != "", F.expr("substring(host, 2)"))
+    found = measured.select("row", F.xxhash64("id", host, "content").alias("at")).join(lost, "row").groupBy("at").agg(F.first("boilerplate_words").alias("boilerplate_words"), F.first("gone").alias("gone"))
+    found = materialise(found, "found")
+    content = F.arrow_udf(_contents, "long")(text_bytes(text_col))
+    d = docs.select(F.col(id_col).alias("id"), text_bytes(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(host_col).cast("string"), content).alias("at"))
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, kept_text string, boilerplate_words long"
+    none = [F.lit(None).cast("array<long>").alias("gone"), F.lit(0).cast("long").alias("boilerplate_words")]
+    parts = possibly(d, found.select(F.col("at").alias("key")), F.col("at"))
+    if parts is None:
+        return d.select("id", "text", *none).mapInArrow(lambda batches: map(_without_lines, batches), schema)
+    some, rest = parts
+    some = some.join(found, "at", "left").select("id", "text", "gone", F.coalesce("boilerplate_words", F.lit(0).cast("long")).alias("boilerplate_words"))
+    return some.union(rest.select("id", "text", *none)).mapInArrow(lambda batches: map(_without_lines, batches), schema)
+
+
+def _contents(column: pa.Array) -> pa.Array:
+    return long_array(np.array([xxhash.xxh3_64_intdigest(t.translate(FOLD)) for t in texts(column)], dtype=np.uint64))
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
