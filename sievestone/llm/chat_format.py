@@ -9,8 +9,8 @@ Every message is parsed once, its arguments are validated against the tools' sch
 its canonical JSON (sorted keys, no blanks, UTF-8) is made. Calls and results are then
 hash-joined by (conversation, id): of calls of one id the first owns it, of results the
 first answers it. Messages keep their turns unless a result stands before its call or a
-call before a result it needs: those move behind what they need, level by level, until no
-edge is broken; messages on a cycle keep their own turn and say so.
+call before a result it needs: those move behind what they need, in topological order, level
+by level. A cycle is cut at its first message, which keeps its own turn and says so.
 
 Output: one row per message, so that a conversation of any length is never one group:
 conversation, turn, order_turn, order_level (sort by these two, then turn), role, kind
@@ -26,6 +26,7 @@ ignored.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -136,39 +137,92 @@ def _parse_all(tools: dict[str, dict]):
     return work
 
 
+def order_rows(edges: list[tuple[int, int, int, int]]) -> dict[int, tuple[int, int, bool]]:
+    """Per row of one chat's edges (before, before_turn, after, after_turn): its order turn and level, and whether a cycle was cut there.
+
+    What lies on no cycle and between no two is peeled off from both ends. While rows are
+    left, the first of them (by turn, then row) is cut from what it waits for. Then every
+    row stands at its own turn, or one level behind the latest row that it waits for.
+    """
+    turn: dict[int, int] = {}
+    ahead: dict[int, set[int]] = {}
+    behind: dict[int, set[int]] = {}
+    for x, tx, y, ty in edges:
+        turn[x], turn[y] = tx, ty
+        ahead.setdefault(x, set()).add(y)
+        behind.setdefault(y, set()).add(x)
+    waits = {r: set(behind.get(r, ())) for r in turn}
+    leads = {r: set(ahead.get(r, ())) for r in turn}
+
+    def peel(rows: list[int]) -> None:
+        while rows:
+            r = rows.pop()
+            if r not in waits or waits[r] and leads[r]:
+                continue
+            for x in waits.pop(r):
+                leads[x].discard(r)
+                rows.append(x)
+            for y in leads.pop(r):
+                waits[y].discard(r)
+                rows.append(y)
+
+    peel(list(turn))
+    cut = set()
+    for r in sorted(waits, key=lambda r: (turn[r], r)):
+        if r in waits:
+            cut.add(r)
+            touched = list(waits[r])
+            for x in touched:
+                leads[x].discard(r)
+            waits[r] = set()
+            behind[r] = {x for x in behind[r] if x not in touched}
+            for x in touched:
+                ahead[x].discard(r)
+            peel([r, *touched])
+    left = {r: len(behind.get(r, ())) for r in turn}
+    at, free = {r: (t, 0) for r, t in turn.items()}, [r for r, n in left.items() if not n]
+    while free:
+        x = free.pop()
+        for y in ahead.get(x, ()):
+            at[y] = max(at[y], (at[x][0], at[x][1] + 1))
+            left[y] -= 1
+            if not left[y]:
+                free.append(y)
+    return {r: (*at[r], r in cut) for r in turn}
+
+
 def _settle(edges: DataFrame) -> DataFrame:
-    """(row, order_turn, order_level, cyclic) of the rows that move.
+    """(row, order_turn, order_level, cyclic) of the rows of chats in which some row stands before what it waits for.
 
-    edges: (before, before_turn, after, after_turn). Only rows behind a broken edge are
-    touched; each round moves rows behind their latest predecessor. A row that is moved
-    more often than there are rows in motion lies on or behind a cycle.
+    edges: (chat, before, before_turn, after, after_turn). All chats are ordered in one pass;
+    a task holds the edges of one chat at a time (links between its calls and results, never
+    its messages' texts).
     """
-    moved, rounds = None, 0
-    while True:
-        if moved is None:
-            at = edges.select("before", "after", F.struct(F.col("before_turn").alias("t"), F.lit(0).cast("long").alias("l")).alias("b"), F.struct(F.col("after_turn").alias("t"), F.lit(0).cast("long").alias("l")).alias("a"))
-        else:
-            m1 = moved.select(F.col("row").alias("before"), F.col("key").alias("kb"))
-            m2 = moved.select(F.col("row").alias("after"), F.col("key").alias("ka"))
-            own = lambda side: F.struct(F.col(f"{side}_turn").alias("t"), F.lit(0).cast("long").alias("l"))
-            at = edges.join(m1, "before", "left").join(m2, "after", "left").select("before", "after", F.coalesce("kb", own("before")).alias("b"), F.coalesce("ka", own("after")).alias("a"))
-        # (turn, level) compared as a pair; within a turn without levels the rows' order decides
-        push = at.where((F.col("b.t") > F.col("a.t")) | ((F.col("b.t") == F.col("a.t")) & (F.col("b.l") >= F.col("a.l"))))
-        new = push.groupBy("after").agg(F.max(F.struct(F.col("b.t").alias("t"), (F.col("b.l") + 1).alias("l"))).alias("key")).select(F.col("after").alias("row"), "key")
-        new = materialise(new, "moved")
-        n = new.count()
-        if not n:
-            break
-        moved = new if moved is None else materialise(new.union(moved).groupBy("row").agg(F.max("key").alias("key")), "moves")
-        rounds += 1
-        if rounds > moved.count() + 1:
-            ring = materialise(new.select("row"), "ring")
-            edges = edges.join(ring.select(F.col("row").alias("after")), "after", "left_anti")
-            settled = _settle(materialise(edges, "edges"))
-            return settled.join(ring, "row", "left_anti").union(ring.select("row", F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(True)))
-    if moved is None:
-        return edges.select(F.col("after").alias("row"), F.lit(0).cast("long").alias("order_turn"), F.lit(0).cast("long").alias("order_level"), F.lit(False).alias("cyclic")).limit(0)
-    return moved.select("row", F.col("key.t").alias("order_turn"), F.col("key.l").alias("order_level"), F.lit(False).alias("cyclic"))
+    late = F.max((F.col("before_turn") > F.col("after_turn")) | ((F.col("before_turn") == F.col("after_turn")))).alias("late")
+    wrong = edges.groupBy("chat").agg(late).where("late").select("chat")
+    mine = edges.join(wrong, "chat", "left_semi").select("chat", "before", "before_turn", "after", "after_turn")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chat, own = None, []
+
+        def done() -> pa.RecordBatch:
+            found = order_rows(own)
+            return pa.record_batch(
+                [pa.array(list(found), pa.int64()), pa.array([v[0] for v in found.values()], pa.int64()), pa.array([v[1] for v in found.values()], pa.int64()), pa.array([v[2] for v in found.values()], pa.bool_())],
+                ["row", "order_turn", "order_level", "cyclic"],
+            )
+
+        for batch in batches:
+            for c, *edge in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                if c != chat and own:
+                    yield done()
+                    own = []
+                chat = c
+                own.append(tuple(edge))
+        yield done()
+
+    dealt = mine.repartition("chat").sortWithinPartitions("chat")
+    return dealt.mapInArrow(run, "row long, order_turn long, order_level long, cyclic boolean")
 
 
 def format_chats(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", tools: dict[str, dict] | None = None) -> DataFrame:
@@ -186,9 +240,9 @@ def format_chats(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     answered = answers.groupBy("chat", "id").agg(F.min(F.struct("turn", "row")).alias("a")).select("chat", "id", F.col("a.turn").alias("answer_turn"), F.col("a.row").alias("answer_row"))
     links = materialise(owner.hint("shuffle_hash").join(answered, ["chat", "id"], "left"), "links")
 
-    edges = links.where("answer_row is not null").select(F.col("call_row").alias("before"), F.col("call_turn").alias("before_turn"), F.col("answer_row").alias("after"), F.col("answer_turn").alias("after_turn"))
+    edges = links.where("answer_row is not null").select("chat", F.col("call_row").alias("before"), F.col("call_turn").alias("before_turn"), F.col("answer_row").alias("after"), F.col("answer_turn").alias("after_turn"))
     wants = calls.select("chat", "turn", "row", F.explode("needs").alias("id")).distinct()
-    needs = wants.join(links.where("answer_row is not null").hint("shuffle_hash"), ["chat", "id"]).select(F.col("answer_row").alias("before"), F.col("answer_turn").alias("before_turn"), F.col("row").alias("after"), F.col("turn").alias("after_turn"))
+    needs = wants.join(links.where("answer_row is not null").hint("shuffle_hash"), ["chat", "id"]).select("chat", F.col("answer_row").alias("before"), F.col("answer_turn").alias("before_turn"), F.col("row").alias("after"), F.col("turn").alias("after_turn"))
     moves = _settle(materialise(edges.union(needs).where("before <> after"), "edges"))
 
     by_call = calls.join(links, ["chat", "id"]).groupBy("row").agg(
