@@ -245,16 +245,19 @@ def passages(own: np.ndarray, other: np.ndarray, shifts: list[int], least_words:
 
 
 def _align(least_words: int, threshold: int):
-    """Stream (lead, part, member, at, id, lead_id, shifts, text), each part's leader first: spans of both."""
+    """Stream (lead, part, member, at, id, lead_id, shifts, text), each part's leader first, each member's shifts before its text: spans of both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead, other, whole, seen = None, None, None, None
+        lead, other, whole, seen, along = None, None, None, None, []
         for batch in batches:
             out, spans = {"at": [], "id": [], "kept_in": []}, []
             for key, member, at, id_, lead_id, shifts, text in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5, 6)), texts(batch.column(7)), strict=True):
+                if text is None:
+                    along = shifts
+                    continue
                 if (key, at) == (lead, seen):
                     continue
-                seen = at
+                seen, shifts = at, along
                 folded = text.translate(FOLD)
                 if member and key != lead:
                     raise ValueError("a leader's text is missing")
@@ -285,16 +288,19 @@ def aligned(seeds: DataFrame, often: DataFrame, docs: DataFrame, text_col: str,
     """Spans (id, at, first, words, kept_in, removed) of the passages that rows share with the smallest row of one of their seeds (id, at, key, first)."""
     pairs = seed_pairs(seeds, often).groupBy("lead", "at").agg(F.first("id").alias("id"), F.first("lead_id").alias("lead_id"), F.collect_set("shift").alias("shifts"))
     pairs = materialise(pairs, "seed-pairs")
-    # as in verify: a leader's members are salted, the leader goes to every part
+    # as in verify: a leader's members are salted, the leader goes to every part; shifts travel beside the texts, so that what is broadcast is bounded by its rows
     leads = pairs.groupBy("lead").agg(F.first("lead_id").alias("lead_id"), F.ceil(F.count("*") / F.lit(part)).alias("parts"))
     members = pairs.join(leads.select("lead", "parts"), "lead").select("lead", F.pmod(F.xxhash64("at"), "parts").alias("part"), F.lit(True).alias("member"), "at", "id", "lead_id", "shifts")
     first = leads.select("lead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False), F.col("lead").alias("at"), F.col("lead_id").alias("id"), "lead_id", F.array().cast("array<int>"))
     wanted = materialise(members.union(first), "wanted")
+    rows = wanted.drop("shifts")
     if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+        rows = F.broadcast(rows)
     d = docs.select(F.xxhash64(F.col(id_col), text_bytes(text_col)).alias("at"), text_bytes(text_col).alias("text"))
-    sent = wanted.join(d, "at").select("lead", "part", "member", "at", "id", "lead_id", "shifts", "text")
-    return sent.repartition("lead", "part").sortWithinPartitions("lead", "part", "member", "at").mapInArrow(_align(least_words, threshold), "id long, at long, first int, words int, kept_in long, removed boolean")
+    columns = ["lead", "part", "member", "at", "id", "lead_id"]
+    sent = rows.join(d, "at").select(*columns, F.lit(None).cast("array<int>").alias("shifts"), "text").union(wanted.where("member").select(*columns, "shifts", F.lit(None).cast("string")))
+    sent = sent.withColumn("second", F.col("shifts").isNull())
+    return sent.repartition("lead", "part").sortWithinPartitions("lead", "part", "member", "at", "second").drop("second").mapInArrow(_align(least_words, threshold), "id long, at long, first int, words int, kept_in long, removed boolean")
 
 
 def _repeated(units: DataFrame, key: str) -> DataFrame:
