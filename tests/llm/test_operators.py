@@ -374,6 +374,132 @@ def test_chats(spark):
     assert all(r.json == json.dumps(json.loads(r.json), sort_keys=True, ensure_ascii=False, separators=(",", ":")) for r in out)
 
 
+def naive_order(edges):
+    """The definition of order_rows by closures."""
+    turn = {r: t for x, tx, y, ty in edges for r, t in ((x, tx), (y, ty))}
+    links, cut = {(x, y) for x, _, y, _ in edges}, set()
+
+    def reach(links):
+        out = {r: {r} for r in turn}
+        for _ in turn:
+            for x, y in links:
+                out[x] |= out[y]
+        return out
+
+    while True:
+        to = reach(links)
+        ring = {r for r in turn if any((r, y) in links and r in to[y] for y in turn)}
+        core = {r for r in turn if any(r in to[c] for c in ring) and any(c in to[r] for c in ring)}
+        if not core:
+            break
+        first = min(core, key=lambda r: (turn[r], r))
+        cut.add(first)
+        links = {(x, y) for x, y in links if not (y == first and x in core)}
+    at = {r: (t, 0) for r, t in turn.items()}
+    for _ in turn:
+        for x, y in links:
+            at[y] = max(at[y], (at[x][0], at[x][1] + 1))
+    return {r: (*at[r], r in cut) for r in turn}
+
+
+def test_chat_order_by_brute_force():
+    rng = np.random.default_rng(12)
+    for _ in range(400):
+        n = int(rng.integers(2, 9))
+        turn = rng.integers(0, 5, n).tolist()
+        pairs = {(int(x), int(y)) for x, y in rng.integers(0, n, (int(rng.integers(1, 12)), 2)) if x != y}
+        edges = [(x, turn[x], y, turn[y]) for x, y in sorted(pairs)]
+        assert chat_format.order_rows(edges) == naive_order(edges)
+
+
+def test_chats_are_ordered_in_jobs_that_do_not_grow(spark):
+    call = lambda *c: json.dumps({"tool_calls": [{"id": i, "name": "search", "arguments": a} for i, a in c]})
+    answer = lambda i: json.dumps({"tool_call_id": i, "content": "r"})
+    moved = [(c, t, r, x) for c in range(1000) for t, r, x in ((0, "tool", answer("a")), (1, "assistant", call(("a", {"query": "x"}))), (2, "user", "thanks"))]
+    ring = [(5000, 0, "assistant", call(("e", {"query": {"$result": "e"}}))), (5000, 1, "tool", answer("e"))]
+    # one long conversation: each call needs the result of the next, all out of order
+    long = [m for k in range(300) for m in ((6000, 2 * k, "assistant", call((f"c{k}", {"query": {"$result": f"c{k + 1}"}}))), (6000, 2 * k + 1, "tool", answer(f"c{k}")))]
+
+    def jobs(rows):
+        tracker, group = spark.sparkContext.statusTracker(), f"chats-{len(rows)}"
+        spark.sparkContext.setJobGroup(group, group)
+        out = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return out, len(tracker.getJobIdsForGroup(group))
+
+    few, n_few = jobs(moved[:30] + ring)
+    out, n = jobs(moved + ring + long)
+    assert n <= n_few + 4
+    assert all((r.order_turn, r.order_level) == (1, 1) for r in out if r.conv < 1000 and r.kind == "result")
+    assert [r.cyclic for r in sorted((r for r in out if r.conv == 5000), key=lambda r: r.turn)] == [True, False]
+    place = {r.turn: (r.order_turn, r.order_level) for r in out if r.conv == 6000}
+    assert all(place[2 * k] > place[2 * k + 3] > place[2 * k + 2] for k in range(299)) and not any(r.cyclic for r in out if r.conv == 6000)
+
+
+def test_chats_of_edge_cases(spark):
+    text = "x" * 2_000_000
+    m = [(1, 0, "user", text, "a", 1, "r"), (1, 0, "user", text, "a", 1, "r"), (None, None, None, None, None, None, None), (2, 1, "assistant", json.dumps({"tool_calls": [{"id": "a", "name": "search", "arguments": {"query": "ü"}}]}), "k", 2, "j")]
+    out = chat_format.format_chats(spark.createDataFrame(m, "conv_id long, turn long, role string, text string, kind string, row long, json string")).collect()
+    assert len(out) == 4 and sum(len(r.json) > 2_000_000 for r in out) == 2 and sum(r.kind == "calls" for r in out) == 1
+    long = [(7, t, "user", f"m{t}") for t in range(5000)]
+    assert chat_format.format_chats(spark.createDataFrame(long, "conv_id long, turn long, role string, text string")).count() == 5000
+
+
+def test_license_scan_finds_every_copy(spark):
+    mit = license_scan.TEMPLATES["mit"]
+    junk = " ".join(f"j{i}" for i in range(200))
+    d = spark.createDataFrame([(1, f"{mit} {junk} {mit}"), (2, f"{mit} {mit}"), (3, " ".join(mit.split()[:30]))], "doc_id long, text string")
+    got = {r.id: [(s.first, s.end) for s in r.spans if s.label == "mit"] for r in license_scan.scan(d).collect()}
+    n = len(license_scan.words_of(mit.lower().encode()))
+    assert got[1] == [(0, n), (n + 200, 2 * n + 200)] and got[2] == [(0, n), (n, 2 * n)] and got[3] == [(0, 30)]
+
+
+def test_language_id_learns_every_language_from_whole_texts(spark):
+    rows = [(i, f"{'filler ' * 40}zz{i % 90} only here", f"l{i % 90:02}") for i in range(900)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = dict(language_id.learn(d))
+    assert len(learned) == 90 and all(b"only here" in t for t in learned.values())
+    assert all(len(t) <= 500 for _, t in language_id.learn(d, dictionary_bytes=500)) and sum(len(t) for _, t in language_id.learn(d, all_bytes=9000)) <= 9000
+    again = d.union(d.where("lang = 'l00'")).union(d.where("lang = 'l00'"))
+    assert set(dict(language_id.learn(again))) == set(learned)
+
+
+def test_quality_rules_clean(spark):
+    site = "a navigation line of this host that all its documents share"
+    d = spark.createDataFrame([(i, f"{site}\nown{i} text\n  {site.upper()} ", "h") for i in range(30)] + [(99, "other words", "h"), (100, None, None), (101, f"{site}", "g")], "doc_id long, text string, source string")
+    got = {r.id: (r.kept_text, r.boilerplate_words) for r in quality_rules.clean(d).collect()}
+    assert got == {**{i: (f"own{i} text", 22) for i in range(30)}, 99: ("other words", 0), 100: ("", 0), 101: (site, 0)}
+    assert quality_rules.clean(edge(spark)).count() == edge(spark).count()
+
+
+def naive_best_fit(pieces, capacity, per_source):
+    bins, out = [], []
+    for tokens, source, cluster in pieces:
+        fit = [(capacity - sum(n for n, _, _ in b), k) for k, b in enumerate(bins) if sum(n for n, _, _ in b) + tokens <= capacity and sum(s == source for _, s, _ in b) < per_source and all(c != cluster for _, _, c in b)]
+        k = min(fit)[1] if fit else len(bins)
+        if not fit:
+            bins.append([])
+        out.append((k, sum(n for n, _, _ in bins[k])))
+        bins[k].append((tokens, source, cluster))
+    return out
+
+
+def test_best_fit_by_brute_force():
+    rng = np.random.default_rng(14)
+    for _ in range(200):
+        pieces = sorted(((int(n), int(s), 50 + int(c)) for n, s, c in zip(rng.integers(1, 30, 40), rng.integers(0, 5, 40), rng.integers(0, 12, 40), strict=True)), reverse=True)
+        assert bin_packing.best_fit(pieces, 30, 2) == naive_best_fit(pieces, 30, 2)
+
+
+def test_row_filter():
+    rng = np.random.default_rng(15)
+    keys = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64))
+    words = np.zeros((1 << 16) // 64, dtype=np.uint64)
+    for at in _common._places(keys, 1 << 16).reshape(-1):
+        words[at >> np.uint64(6)] |= np.uint64(1) << (at & np.uint64(63))
+    assert _common.may_hold(words, keys).all() and _common.may_hold(words, keys + np.uint64(1)).mean() < 0.1
+
+
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (3, 2), (9, 8), (8, 7), (4, 4), *((100, i) for i in range(101, 140))], "a long, b long")
     got = {r.node: r.component for r in _common.connected_components(e).collect()}
