@@ -130,16 +130,24 @@ def text_bytes(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def map_rows(df: DataFrame, columns: list[Column], work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow over the given columns only, batch by batch."""
+def map_rows(df: DataFrame, columns: list[Column], work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 10_000) -> DataFrame:
+    """mapInArrow over the given columns only, in batches of at most `rows` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, rows):
             yield work(batch)
 
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces, so that what is made of each stays small; freed memory goes back at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+            pa.default_memory_pool().release_unused()
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import connected_components, discard, drop_rows, long_array, materialise, mix, shingle_set, text_bytes, texts
+from ._common import connected_components, discard, drop_rows, long_array, materialise, mix, shingle_set, slices, text_bytes, texts
 
 THRESHOLD = 80
 #: Bound of the broadcast frequent tokens; a batch reports tokens of at least so many texts.
@@ -54,6 +54,8 @@ SMALL_GROUP = 8
 BROADCAST_ROWS = 400_000
 #: Tokens of a set for each of its classes of frequent tokens.
 CLASS_TOKENS = 5
+#: Texts whose signatures are held at once.
+SIGNED_TEXTS = 2500
 #: Members of a block when the open members of a larger group are compared.
 BLOCK = 512
 #: Pairs of a member of a larger group that are verified before all open pairs are.
@@ -214,7 +216,7 @@ def _sign(sent, threshold: int, small_group: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, rank = sent.value
         done: set[int] = set()
-        for batch in batches:
+        for batch in slices(batches, SIGNED_TEXTS):
             sig, node, size, rare = [], [], [], []
             for text in texts(batch.column(0)):
                 tokens = shingle_set(text)

@@ -33,13 +33,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import FOLD, SHINGLE_WORDS, connected_components, discard, long_array, map_rows, materialise, mix, shingle_sequence, text_bytes, texts, word_hashes
-from .ngram_join import BROADCAST_ROWS, DEALT, LEAST_IN_BATCH, NODE, bitmap, least_overlap, linked, nodes_of, verify
+from .ngram_join import BROADCAST_ROWS, DEALT, NODE, bitmap, least_overlap, linked, nodes_of, verify
 
 LEAST_WORDS, BANDS, ROWS_PER_BAND, THRESHOLD = 25, 6, 3, 80
 #: Words of a seed, fewer where a shared run may be shorter.
 SEED_WORDS = 10
 #: Bound of the most frequent seeds, whose rows are judged where they lie.
 HOT_SEEDS = 1 << 16
+#: Texts whose seeds are held at once, and how often these hold a seed that is reported.
+UNIT_TEXTS, OFTEN_IN_TEXTS = 2500, 4
 
 
 def seed_shape(least_words: int, threshold: int) -> tuple[int, int]:
@@ -107,7 +109,7 @@ def _units(least_words: int, threshold: int, bands: int, rows_per_band: int):
             band[:, k // rows_per_band] = mix(band[:, k // rows_per_band] * np.uint64(0x9E3779B97F4A7C15) + least)
         key, start = np.concatenate(keys or [none]), np.concatenate(starts or [none]).astype(np.int32)
         often, times = np.unique(key, return_counts=True)
-        often, times = (v[times >= LEAST_IN_BATCH] for v in (often, times))
+        often, times = (v[times >= OFTEN_IN_TEXTS] for v in (often, times))
         m, k, o = len(key), len(sets), len(often)
         pick = pa.array(np.concatenate([np.empty(0, dtype=np.int64), *of, np.array(row, dtype=np.int64), np.zeros(o, dtype=np.int64)]).astype(np.int64))
         lines = lambda values, kind, rest=None: pa.concat_arrays([pa.nulls(m, kind), pa.array(values, kind), pa.nulls(o, kind) if rest is None else pa.array(rest, kind)])
@@ -333,7 +335,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     """One row per repeated span: id, at (hash of id and text), first_word, end_word, kept_in (smallest id of a copy), removed."""
     at = F.xxhash64(F.col(id_col), text_bytes(text_col)).alias("at")
     base = [F.col(id_col).cast("long").alias("id"), at, text_bytes(text_col).alias("text")]
-    units = materialise(map_rows(docs, base, _units(least_words, threshold, bands, rows_per_band), UNITS), "units")
+    units = materialise(map_rows(docs, base, _units(least_words, threshold, bands, rows_per_band), UNITS, UNIT_TEXTS), "units")
     passed = materialise(aligned(units.where(F.col("kind") == SEED).select("id", "at", "key", "first"), units.where(F.col("kind") == OFTEN).select("key", "n"), docs, text_col, id_col, least_words, threshold), "passages")
 
     lines = units.where(F.col("kind") == LINE).select("id", "at", "line", "first", "words", F.col("key").alias("node"), "n", "bands", "bits")
