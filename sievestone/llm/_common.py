@@ -31,8 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Rows of a batch between the JVM and Python, where the session sets Spark's default or more: texts are long, and every worker and task holds some batches.
+BATCH_ROWS = 2000
+
+
+def lean_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends, lost executors cost nothing."""
+    lean_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -90,6 +101,7 @@ def possibly(df: DataFrame, keys: DataFrame, key: Column) -> tuple[DataFrame, Da
     n = keys.count()
     if not n:
         return None
+    lean_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(key_filter(keys, n))
 
     def test(column: pa.Array) -> pa.Array:
@@ -102,8 +114,8 @@ def possibly(df: DataFrame, keys: DataFrame, key: Column) -> tuple[DataFrame, Da
 def drop_rows(docs: DataFrame, gone: DataFrame, id_col: str, mark: Callable[[DataFrame], Column], again: DataFrame | None = None) -> DataFrame:
     """docs without the rows that gone (id, mark) names; of rows that again (id, mark) names, one of each.
 
-    mark is a hash of the row that makes it one of its own with the id; it is made, and rows are
-    shuffled, only where the id may be named.
+    mark, a hash, makes a row one of its own with the id; it is made, and rows are shuffled,
+    only where the id may be named.
     """
     again = gone.limit(0) if again is None else again
     named = gone.select(F.xxhash64("id").alias("key")).union(again.select(F.xxhash64("id")))
@@ -125,14 +137,20 @@ def texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()
 
 
+def row_hash(text_col: str, id_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), text_bytes(text_col))
+
+
 def text_bytes(name: str) -> Column:
     """A null text counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def map_rows(df: DataFrame, columns: list[Column], work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 10_000) -> DataFrame:
+def map_rows(df: DataFrame, columns: list[Column], work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
     """mapInArrow over the given columns only, in batches of at most `rows` rows."""
 
+    lean_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, rows):
             yield work(batch)

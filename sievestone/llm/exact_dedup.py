@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import FOLD, discard, drop_rows, materialise, text_bytes, texts
+from ._common import FOLD, drop_rows, lean_batches, materialise, row_hash, text_bytes, texts
 
 #: Bound of the broadcast winners and of each task's summary.
 HEAVY = 256
@@ -54,8 +54,9 @@ def misra_gries(capacity: int):
 
 
 def judged(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", heavy: int = HEAVY) -> DataFrame:
-    """One row per row of docs: id, digest, keep_id, group_size, kept."""
-    rows = docs.select(F.col(id_col).alias("id"), text_digest(text_col).alias("digest"))
+    """One row per row of docs: id, at (hash of id and text), digest, keep_id, group_size, kept."""
+    lean_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), row_hash(text_col, id_col).alias("at"), text_digest(text_col).alias("digest"))
     rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "digests")
     seen = rows.select("digest").mapInArrow(misra_gries(heavy), "digest binary, seen long")
     frequent = seen.groupBy("digest").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "digest").limit(heavy)
@@ -65,22 +66,23 @@ def judged(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", heav
     hot = rows.join(F.broadcast(winners), "digest")
     cold = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
     # groups are summed map-side and joined, so that none of them ever sits in a task
-    rest = cold.join(cold.groupBy("digest").agg(best, F.count("*").alias("group_size")), "digest").select("digest", "id", "row", "best", "group_size")
-    both = hot.select(rest.columns).unionByName(rest)
-    return both.select("id", "digest", F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == -F.col("best.col2")).alias("kept"))
+    rest = cold.join(cold.groupBy("digest").agg(best, F.count("*").alias("group_size")), "digest")
+    columns = ["digest", "id", "at", "row", "best", "group_size"]
+    both = hot.select(columns).unionByName(rest.select(columns))
+    return both.select("id", "at", "digest", F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == -F.col("best.col2")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", heavy: int = HEAVY) -> DataFrame:
     """The rows of docs that stay, with all their columns.
 
-    The rows to drop are written as (id, digest); only rows whose id may be among them are
-    digested again and shuffled. Repeated rows, alike in id and digest, are cut to one.
+    The rows to drop are written as (id, hash of id and text); only rows whose id may be
+    among them are hashed again and shuffled. Repeated rows, alike in both, are cut to one.
     """
-    verdict = materialise(judged(docs, text_col, id_col, heavy), "verdicts")
-    drop = materialise(verdict.groupBy("id", F.col("digest").alias("mark")).agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"), "dropped")
-    discard(verdict)
-    named = [c for c in docs.columns]
-    return drop_rows(docs, drop.where("not kept").select("id", "mark"), id_col, lambda d: text_digest(d.columns[named.index(text_col)]), drop.where("kept").select("id", "mark"))
+    verdict = judged(docs, text_col, id_col, heavy).groupBy("id", F.col("at").alias("mark")).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    drop = materialise(verdict.where("not kept or n > 1"), "dropped")
+    named = docs.columns
+    hashed = lambda d: row_hash(d.columns[named.index(text_col)], d.columns[named.index(id_col)])
+    return drop_rows(docs, drop.where("not kept").select("id", "mark"), id_col, hashed, drop.where("kept").select("id", "mark"))
 
 
 def op8_exact_dedup(spark, sf_dir: str) -> DataFrame:

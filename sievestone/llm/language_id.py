@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._common import lean_batches, materialise
 
 #: Bounds of the training sample: rows and dictionary bytes a language, and bytes of all dictionaries, which are broadcast.
 SAMPLE_DOCS, DICTIONARY_BYTES, ALL_BYTES = 800, 192 * 1024, 48 << 20
@@ -103,6 +103,7 @@ def identify(docs: DataFrame, learned: list[tuple[str, bytes]], text_col: str =
 
     Only the text travels to Python; no shuffle.
     """
+    lean_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(learned)
     at: dict[str, Classifier] = {}
 

@@ -44,18 +44,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import connected_components, discard, drop_rows, long_array, materialise, mix, shingle_set, slices, text_bytes, texts
+from ._common import connected_components, discard, drop_rows, long_array, materialise, mix, row_hash, shingle_set, slices, text_bytes, texts
 
 THRESHOLD = 80
 #: Bound of the broadcast frequent tokens; a batch reports tokens of at least so many texts.
-FREQUENT_TOKENS, LEAST_IN_BATCH = 1 << 18, 8
+FREQUENT_TOKENS, LEAST_IN_BATCH = 1 << 18, 4
 SMALL_GROUP = 8
 #: Rows of (leader, member) up to which they are broadcast to the texts; more are shuffled.
 BROADCAST_ROWS = 400_000
 #: Tokens of a set for each of its classes of frequent tokens.
 CLASS_TOKENS = 5
 #: Texts whose signatures are held at once.
-SIGNED_TEXTS = 2500
+SIGNED_TEXTS = 2000
 #: Members of a block when the open members of a larger group are compared.
 BLOCK = 512
 #: Pairs of a member of a larger group that are verified before all open pairs are.
@@ -544,10 +544,6 @@ def placed_rows(docs: DataFrame, text_col: str, id_col: str, threshold: int, mos
     return out
 
 
-def row_hash(text_col: str, id_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), text_bytes(text_col))
-
-
 def join(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: int = THRESHOLD, most_frequent: int = FREQUENT_TOKENS, small_group: int = SMALL_GROUP) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (smallest id reachable by links)."""
     placed = placed_rows(docs, text_col, id_col, threshold, most_frequent, small_group)

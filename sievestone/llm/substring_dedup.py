@@ -41,7 +41,7 @@ SEED_WORDS = 10
 #: Bound of the most frequent seeds, whose rows are judged where they lie.
 HOT_SEEDS = 1 << 16
 #: Texts whose seeds are held at once, and how often these hold a seed that is reported.
-UNIT_TEXTS, OFTEN_IN_TEXTS = 2500, 4
+UNIT_TEXTS, OFTEN_IN_TEXTS = 2000, 4
 
 
 def seed_shape(least_words: int, threshold: int) -> tuple[int, int]:
