@@ -17,7 +17,7 @@ def html_links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     return x.select(id_col, F.col("position").cast("long").alias("position"), F.col("x.target").alias("target"), F.col("x.label").alias("label"))
 
 
-def resolve_redirects(redirects: DataFrame, canonical: DataFrame, most_hops: int = 16) -> DataFrame:
+def resolve_redirects(redirects: DataFrame, canonical: DataFrame, most_doublings: int = 40) -> DataFrame:
     """(surface, target, state, hops) of redirects (surface, target): canonical, missing, ambiguous or redirect_cycle.
 
     Targets are followed for all surfaces at once; a surface that several targets name is
@@ -26,11 +26,15 @@ def resolve_redirects(redirects: DataFrame, canonical: DataFrame, most_hops: int
     """
     named = redirects.groupBy("surface").agg(F.countDistinct("target").alias("n"), F.min("target").alias("target"))
     hop = named.where("n = 1").select("surface", "target", F.lit(1).cast("long").alias("hops"))
-    reach = 1
-    while reach < most_hops:
+    surfaces = named.count()
+    for _ in range(most_doublings):
         nxt = hop.select(F.col("surface").alias("target"), F.col("target").alias("far"), F.col("hops").alias("more"))
-        hop = hop.join(nxt, "target", "left").select("surface", F.coalesce("far", "target").alias("target"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"))
-        reach *= 2
+        hop = cut(hop.join(nxt, "target", "left").select("surface", F.coalesce("far", "target").alias("target"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("far").isNotNull().alias("moved")))
+        # a chain stops moving; on a cycle, hops come to exceed the number of surfaces
+        open_ = hop.where("moved").agg(F.count("*"), F.min("hops")).first()
+        hop = hop.drop("moved")
+        if not open_[0] or open_[1] > surfaces:
+            break
     inner = named.where("n = 1").select(F.col("surface").alias("target"), F.lit(True).alias("moves"))
     split = named.where("n > 1").select(F.col("surface").alias("target"), F.lit(True).alias("splits"))
     known = canonical.select(F.col("title").alias("target"), F.lit(True).alias("known")).distinct()
@@ -81,6 +85,8 @@ def components(edges: DataFrame, nodes: DataFrame, node: str = "node", rounds: i
         labels = new.select("node", F.col("new").alias("label"))
         if not new.where("new <> label").limit(1).count():
             break
+    else:
+        raise RuntimeError(f"components not settled after {rounds} rounds")
     return labels.withColumnRenamed("label", "component")
 
 

@@ -31,7 +31,7 @@ def previous_turn_context(t):
     )
 
 
-CLAIMS = "cl AS (SELECT event_id AS claim_id, user_id AS subject, event_type AS relation, round(value)::BIGINT AS object, event_id % 7 AS family, ts FROM events WHERE user_id < 40)"
+CLAIMS = "cl AS (SELECT event_id AS claim_id, user_id AS subject, event_type AS relation, round(value)::BIGINT AS object, event_id % 7 AS family, ts FROM events)"
 
 
 def claims(t):
@@ -39,12 +39,12 @@ def claims(t):
 
 
 @query(f"""
-WITH {CLAIMS}, d AS (SELECT subject, relation, object, min(claim_id) AS claim_id, list_sort(list_distinct(list(family))) AS fam FROM cl WHERE object > 30 GROUP BY ALL)
+WITH {CLAIMS}, d AS (SELECT subject, relation, object, min(claim_id) AS claim_id, list_sort(list_distinct(list(family))) AS fam FROM cl GROUP BY ALL)
 SELECT a.subject, a.relation, a.object AS object_a, b.object AS object_b FROM d a JOIN d b ON a.subject = b.subject AND a.relation = b.relation AND a.object < b.object AND a.fam <> b.fam
 """)
 def contradiction_pairs(t):
     """Values of one subject and relation that differ, from different families; values are grouped before they are paired."""
-    d = claims(t).where("object > 30").groupBy("subject", "relation", "object").agg(F.array_sort(F.collect_set("family")).alias("fam"))
+    d = claims(t).groupBy("subject", "relation", "object").agg(F.array_sort(F.collect_set("family")).alias("fam"))
     return A.contradictions(d)
 
 
@@ -146,13 +146,13 @@ def mutation_rejection(t):
 
 
 @query("""
-WITH f AS (SELECT l_shipdate AS d, l_quantity AS q, CASE l_linenumber % 3 WHEN 0 THEN 'kg' WHEN 1 THEN 'g' ELSE 'm' END AS unit, l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey < 2000)
+WITH f AS (SELECT l_shipdate AS d, l_quantity AS q, CASE l_linenumber % 3 WHEN 0 THEN 'kg' WHEN 1 THEN 'g' ELSE 'm' END AS unit, l_orderkey, l_linenumber FROM lineitem)
 SELECT l_orderkey, l_linenumber, round(CASE unit WHEN 'kg' THEN q * 1000 WHEN 'g' THEN q END, 6) AS grams FROM f WHERE unit <> 'm'
 """)
 def unit_conversion(t):
     m = F.col("l_linenumber") % 3
     unit = F.when(m == 0, "kg").when(m == 1, "g").otherwise("m")
-    f = t("lineitem").where("l_orderkey < 2000").select("l_orderkey", "l_linenumber", A.convert(F.col("l_quantity"), unit, "g").alias("grams"))
+    f = t("lineitem").select("l_orderkey", "l_linenumber", A.convert(F.col("l_quantity"), unit, "g").alias("grams"))
     return f.where("grams IS NOT NULL").select("l_orderkey", "l_linenumber", F.round("grams", 6).alias("grams"))
 
 
@@ -178,12 +178,12 @@ def premise_evaluation(t):
 
 @query("""
 (SELECT DISTINCT c_nationkey AS k, 'both' AS side FROM customer INTERSECT SELECT DISTINCT s_nationkey, 'both' FROM supplier)
-UNION ALL (SELECT DISTINCT n_nationkey, 'no supplier' FROM nation EXCEPT SELECT DISTINCT s_nationkey, 'no supplier' FROM supplier WHERE s_suppkey % 3 = 0)
+UNION ALL (SELECT DISTINCT n_nationkey, 'no supplier' FROM nation EXCEPT SELECT DISTINCT s_nationkey, 'no supplier' FROM supplier WHERE s_acctbal < 0)
 """)
 def set_differences(t):
-    c, s = t("customer").select(F.col("c_nationkey").alias("k")), t("supplier").select(F.col("s_nationkey").alias("k"), "s_suppkey")
+    c, s = t("customer").select(F.col("c_nationkey").alias("k")), t("supplier").select(F.col("s_nationkey").alias("k"), "s_acctbal")
     both = c.intersect(s.select("k")).withColumn("side", F.lit("both"))
-    only = t("nation").select(F.col("n_nationkey").alias("k")).exceptAll(s.where("s_suppkey % 3 = 0").select("k").distinct()).withColumn("side", F.lit("no supplier"))
+    only = t("nation").select(F.col("n_nationkey").alias("k")).exceptAll(s.where("s_acctbal < 0").select("k").distinct()).withColumn("side", F.lit("no supplier"))
     return both.unionByName(only)
 
 

@@ -92,22 +92,23 @@ def lexical_postings(t):
 
 
 @query("""
-WITH d AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark),
-b AS (SELECT item_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM d WHERE len(w) > 1)
-SELECT term, count(DISTINCT item_id) AS df, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM b GROUP BY term
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
+b AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM d WHERE len(w) > 1)
+SELECT term, doc_id, count(*) AS tf FROM b GROUP BY ALL
 """)
 def bigram_postings(t):
-    out = R.postings(t("benchmark").select(F.col("item_id").cast("string").alias("item_id"), "text"), "item_id", T.ngrams(T.simple_tokens(F.col("text")), 2))
-    return out.select("term", "df", F.array_join("ids", ",").alias("ids"))
+    """A row a posting, so that no bigram's documents gather in one row."""
+    grams = T.ngrams(T.simple_tokens(F.col("text")), 2)
+    return t("documents").select("doc_id", F.explode(grams).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
 
 @query("""
 SELECT term, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(lower(text), '[\\p{L}]{4,}')) AS term FROM documents)
-GROUP BY term HAVING count(*) >= 3 ORDER BY freq DESC, term LIMIT 1000
+GROUP BY term HAVING count(*) >= 3 ORDER BY freq DESC, term LIMIT 120000
 """)
 def vocabulary_topk(t):
     words = t("documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]{4,})"), 1)).alias("term"))
-    return words.groupBy("term").agg(F.count("*").alias("freq")).where("freq >= 3").orderBy(F.desc("freq"), "term").limit(1000)
+    return words.groupBy("term").agg(F.count("*").alias("freq")).where("freq >= 3").orderBy(F.desc("freq"), "term").limit(120_000)
 
 
 @query("""
@@ -187,12 +188,12 @@ def fixed_batches(t):
 
 
 @query("""
-SELECT source, lang, count(*) AS n_docs, sum(n_chars)::BIGINT AS chars, min(substr(sha256(array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))), ' ')), 1, 16)) AS least_key
-FROM documents GROUP BY ALL HAVING count(*) BETWEEN 2 AND 100000
+SELECT source, lang, count(*) AS n_docs, sum(n_chars)::BIGINT AS chars, min(substr(sha256(array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))), ' ')), 1, 16)) AS least_key, count(*) BETWEEN 2 AND 100000 AS hybrid
+FROM documents GROUP BY ALL
 """)
 def category_cells(t):
     d = t("documents").select("source", "lang", "n_chars", T.semantic_key(T.simple_tokens(F.col("text"))).alias("k"))
-    return d.groupBy("source", "lang").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("chars"), F.min("k").alias("least_key")).where(F.col("n_docs").between(2, 100000))
+    return d.groupBy("source", "lang").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("chars"), F.min("k").alias("least_key"), F.count("*").between(2, 100000).alias("hybrid"))
 
 
 @query("""

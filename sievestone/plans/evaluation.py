@@ -171,13 +171,13 @@ def json_access(t):
     return t("events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k.cast("long")).alias("k_sum"), F.countDistinct(k).alias("k_distinct"))
 
 
-@query("""WITH a AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1), b AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'purchase' AND user_id % 3 > 0 GROUP BY 1)
+@query("""WITH a AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1), b AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1)
 SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN b.n IS NULL THEN 'removed' WHEN a.n IS NULL THEN 'added' WHEN a.n <> b.n THEN 'changed' ELSE 'same' END AS change, coalesce(b.n, 0) - coalesce(a.n, 0) AS delta FROM a FULL JOIN b ON a.user_id = b.user_id""")
 def matched_delta(t):
     """Full outer comparison of two keyed tables: added, removed, changed."""
     e = t("events")
     a = e.where("event_type = 'click'").groupBy("user_id").agg(F.count("*").alias("a"))
-    b = e.where("event_type = 'purchase' AND user_id % 3 > 0").groupBy("user_id").agg(F.count("*").alias("b"))
+    b = e.where("event_type = 'purchase'").groupBy("user_id").agg(F.count("*").alias("b"))
     j = a.join(b, "user_id", "full")
     change = F.when(F.col("b").isNull(), "removed").when(F.col("a").isNull(), "added").when(F.col("a") != F.col("b"), "changed").otherwise("same")
     return j.select("user_id", change.alias("change"), (F.coalesce("b", F.lit(0)) - F.coalesce("a", F.lit(0))).alias("delta"))

@@ -153,11 +153,11 @@ def prefix_range(t):
 
 
 @query("""
-WITH x AS (SELECT vec_id, label, unnest(range(1, 9)) AS i, unnest(list_slice(embedding, 1, 8))::DOUBLE AS v FROM embeddings), m AS (SELECT vec_id, max(v) AS m FROM x GROUP BY 1)
+WITH x AS (SELECT vec_id, label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), m AS (SELECT vec_id, max(v) AS m FROM x GROUP BY 1)
 SELECT vec_id, i, round(exp((v - m) / 0.5) / sum(exp((v - m) / 0.5)) OVER (PARTITION BY vec_id), 6) AS p FROM x JOIN m USING (vec_id)
 """)
 def softmax_temperature(t):
-    x = t("embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 8)).alias("i", "v")).select("vec_id", (F.col("i") + 1).cast("long").alias("i"), F.col("v").cast("double").alias("v"))
+    x = t("embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v")).select("vec_id", (F.col("i") + 1).cast("long").alias("i"), F.col("v").cast("double").alias("v"))
     w = Window.partitionBy("vec_id")
     e = F.exp((F.col("v") - F.max("v").over(w)) / 0.5)
     return x.withColumn("e", e).select("vec_id", "i", F.round(F.col("e") / F.sum("e").over(w), 6).alias("p"))

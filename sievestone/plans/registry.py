@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import answering, corpus, evaluation, graph, linking, retrieval, streams, vectors  # noqa: F401
+from . import answering, claims, corpus, evaluation, graph, linking, retrieval, streams, vectors  # noqa: F401
 from ._base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -35,3 +35,12 @@ def test_int8_and_hamming(spark):
     codes, scale = vectors.int8(F.col("v"))
     r = spark.createDataFrame([([0.5, -1.0, 0.0],)], "v array<double>").select(codes.alias("c"), scale.alias("s"), vectors.sign_code(F.col("v")).alias("k")).first()
     assert (r.c, r.k) == ([64, -127, 0], 0b101) and abs(r.s - 1 / 127) < 1e-12
+
+
+def test_long_redirect_chains_and_cycles(spark):
+    from sievestone.operators import graph
+
+    chain = [(f"s{i}", f"s{i + 1}") for i in range(40)] + [("a", "b"), ("b", "c"), ("c", "a"), ("x", "a"), ("lost", "nowhere")]
+    got = {r.surface: (r.target, r.state, r.hops) for r in graph.resolve_redirects(spark.createDataFrame(chain, "surface string, target string"), spark.createDataFrame([("s40",)], "title string")).collect()}
+    assert all(got[f"s{i}"] == ("s40", "canonical", 40 - i) for i in range(40))
+    assert all(got[k][1] == "redirect_cycle" for k in "abcx") and got["lost"][1] == "missing"
