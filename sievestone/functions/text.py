@@ -83,14 +83,38 @@ def gram_set(c: Column, n: int = 3, left: str = "^", right: str = "$") -> Column
 
 
 def chunks(c: Column, size: int = 480) -> Column:
-    """array<struct<ordinal, char_start, char_end, text>> of fixed-size chunks over the whole text."""
-    n = F.length(c)
+    """array<struct<ordinal, char_start, char_end, text>> of fixed-size chunks over the whole text, cut in one pass."""
     return F.transform(
-        F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size))).otherwise(F.array().cast("array<int>")),
-        lambda p, i: F.struct(i.cast("long").alias("ordinal"), p.cast("long").alias("char_start"), F.least(p + size, n).cast("long").alias("char_end"), F.substring(c, p + 1, F.lit(size)).alias("text")),
+        F.regexp_extract_all(c, F.lit(f"((?s).{{1,{size}}})"), 1),
+        lambda x, i: F.struct(i.cast("long").alias("ordinal"), (i * size).cast("long").alias("char_start"), (i * size + F.length(x)).cast("long").alias("char_end"), x.alias("text")),
     )
 
 
+def spans(c: Column, pattern: str) -> Column:
+    """array<struct<char_start, char_end, surface>> of a pattern's places, in order, without leaving the JVM.
+
+    The pattern has three groups: before the surface, the surface, after it. Places are marked
+    by two control characters, blanks in the text first, and counted from the marks, in blocks,
+    so that no long array is copied for every place. Null or no place: an empty array.
+    """
+    marked = F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), "\u0001\u0002", "  "), pattern, "$1\u0001$2\u0002$3")
+    blocks = F.regexp_extract_all(marked, F.lit("((?:[^\u0001]*\u0001[^\u0002]*\u0002){1,256})"), 1)
+    span = lambda start, end, x: F.struct(start.cast("int").alias("char_start"), end.cast("int").alias("char_end"), x.cast("string").alias("surface"))
+
+    def place(found: Column, piece: Column) -> Column:
+        surface = F.substring_index(piece, "\u0001", -1)
+        end = F.element_at(found, -1)["char_end"] + F.length(piece) - 1
+        return F.concat(found, F.array(span(end - F.length(surface), end, surface)))
+
+    def walk(done: Column, block: Column) -> Column:
+        at = F.element_at(F.element_at(done, -1), -1)["char_end"]
+        pieces = F.regexp_extract_all(block, F.lit("([^\u0001]*\u0001[^\u0002]*)\u0002"), 1)
+        return F.concat(done, F.array(F.aggregate(pieces, F.array(span(at, at, F.lit(None))), place)))
+
+    start = F.array(F.array(span(F.lit(0), F.lit(0), F.lit(None))))
+    return F.filter(F.flatten(F.aggregate(blocks, start, walk)), lambda x: x["surface"].isNotNull())
+
+
 def sentences(c: Column) -> Column:
     # what follows the last end mark is cut first: from each of its places the pattern would scan to the text's end
     ended = F.reverse(F.regexp_replace(F.reverse(c), r"^[^.!?]+", ""))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .storage import cut
 
 #: Fixed values of the ranking formula.
 K1, B = 1.2, 0.75
@@ -37,18 +38,24 @@ def postings(units: DataFrame, id_col: str, terms: Column) -> DataFrame:
     return units.select(F.col(id_col), F.explode(F.array_distinct(terms)).alias("term")).groupBy("term").agg(F.array_sort(F.collect_set(id_col)).alias("ids"), F.countDistinct(id_col).alias("df"))
 
 
-def bm25(units: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str, k1: float = K1, b: float = B) -> DataFrame:
-    """(query, id, score) of all units that share a term with a query.
+def asked_terms(units: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, term, tf, len) of the wanted terms, stored; the empty term stands once for every unit.
 
-    Only the queries' terms are counted in the units: the distinct query terms join the
-    exploded tokens before aggregation, so the shuffle carries matching terms alone.
+    The units are read and split into tokens once: counts of units and their mean length come
+    from the stored rows, and only wanted terms reach the shuffle.
     """
+    split = units.select(F.col(id_col), T.simple_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("_words"))
+    terms = wanted.select("term").unionByName(units.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    spread = split.select(id_col, F.size("_words").alias("len"), F.explode(F.concat("_words", F.array(F.lit("")))).alias("term"))
+    return cut(spread.join(terms, "term", "left_semi").groupBy(id_col, "term").agg(F.count("*").alias("tf"), F.first("len").alias("len")))
+
+
+def bm25(units: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str, k1: float = K1, b: float = B) -> DataFrame:
+    """(query, id, score) of all units that share a term with a query."""
     asked = queries.select(F.col(query_id), F.explode(F.array_distinct(T.simple_tokens(F.col(query_text)))).alias("term"))
-    wanted = asked.select("term").distinct()
-    size = F.size(T.simple_tokens(F.col(text_col)))
-    n, mean = units.agg(F.count("*"), F.avg(size)).first()
-    hits = units.select(F.col(id_col), size.alias("len"), F.explode(T.simple_tokens(F.col(text_col))).alias("term")).join(wanted, "term", "left_semi")
-    tf = hits.groupBy(id_col, "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    stored = asked_terms(units, asked, id_col, text_col)
+    n, mean = stored.where("term = ''").agg(F.count("*"), F.avg("len")).first()
+    tf = stored.where("term <> ''")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(float(mean or 1))))

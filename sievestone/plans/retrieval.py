@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import retrieval as R
+from ..operators.storage import cut
 from ._base import query
 from .corpus import CHUNKS
 
@@ -99,7 +100,7 @@ u AS (SELECT item_id, chunk_id, min(pr) AS priority, max(score) AS score FROM (S
 SELECT item_id, chunk_id, priority::INT AS priority, score, row_number() OVER (PARTITION BY item_id ORDER BY priority, score DESC, chunk_id) AS rank FROM u QUALIFY rank <= 8
 """)
 def priority_candidates(t):
-    s = scored(t)
+    s = cut(scored(t))
     head = R.chunk_table(t("documents")).where("ordinal = 0").select("chunk_id")
     best = R.top_k(s, "item_id", [F.desc("score"), F.col("chunk_id")], 4)
     heads = R.top_k(s.join(head, "chunk_id", "left_semi"), "item_id", [F.desc("score"), F.col("chunk_id")], 8)
@@ -115,7 +116,7 @@ u AS (SELECT item_id, doc_id, max(score) AS score, string_agg(DISTINCT ch, ',' O
 SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 8 AS retained FROM u
 """)
 def union_by_canonical_id(t):
-    s = scored(t).join(R.chunk_table(t("documents")).select("chunk_id", "doc_id", "ordinal"), "chunk_id")
+    s = cut(scored(t).join(R.chunk_table(t("documents")).select("chunk_id", "doc_id", "ordinal"), "chunk_id"))
     body = R.top_k(s.groupBy("item_id", "doc_id").agg(F.max("score").alias("score")), "item_id", [F.desc("score"), F.col("doc_id")], 6)
     lead = R.top_k(s.where("ordinal = 0").groupBy("item_id", "doc_id").agg(F.max("score").alias("score")), "item_id", [F.desc("score"), F.col("doc_id")], 6)
     return R.canonical_union({"body": body, "lead": lead}, "item_id", "doc_id", 8).withColumn("rank", F.col("rank").cast("long"))
