@@ -95,9 +95,11 @@ def spans(c: Column, pattern: str) -> Column:
 
     The pattern has three groups: before the surface, the surface, after it. Places are marked
     by two control characters, blanks in the text first, and counted from the marks, in blocks,
-    so that no long array is copied for every place. Null or no place: an empty array.
+    so that no long array is copied for every place; a false place ends the text, so that no
+    pattern looks for a mark in vain. Null or no place: an empty array.
     """
-    marked = F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), "\u0001\u0002", "  "), pattern, "$1\u0001$2\u0002$3")
+    clean = F.translate(F.coalesce(c, F.lit("")), "\u0001\u0002\u0003", "   ")
+    marked = F.concat(F.regexp_replace(clean, pattern, "$1\u0001$2\u0002$3"), F.lit("\u0001\u0003\u0002"))
     blocks = F.regexp_extract_all(marked, F.lit("((?:[^\u0001]*\u0001[^\u0002]*\u0002){1,256})"), 1)
     span = lambda start, end, x: F.struct(start.cast("int").alias("char_start"), end.cast("int").alias("char_end"), x.cast("string").alias("surface"))
 
@@ -112,7 +114,7 @@ def spans(c: Column, pattern: str) -> Column:
         return F.concat(done, F.array(F.aggregate(pieces, F.array(span(at, at, F.lit(None))), place)))
 
     start = F.array(F.array(span(F.lit(0), F.lit(0), F.lit(None))))
-    return F.filter(F.flatten(F.aggregate(blocks, start, walk)), lambda x: x["surface"].isNotNull())
+    return F.filter(F.flatten(F.aggregate(blocks, start, walk)), lambda x: x["surface"] != "\u0003")
 
 
 def sentences(c: Column) -> Column:
