@@ -55,7 +55,7 @@ def candidates(t):
     rows = rows.join(first, "item_id").withColumns({
         "aliases": F.array(F.lower("title")), "categories": F.array("lang"), "asked_categories": F.array("_asked"), "link": (F.col("_home") == F.col("section")).cast("double"),
     })
-    out = S.scores(S.features(rows)).withColumn("final", F.round("final", 6)).drop("question", "body")
+    out = S.scores(cut(S.features(rows).drop("question", "body"))).withColumn("final", F.round("final", 6))
     return R.top_k(out, "item_id", [F.desc("final"), F.col("chunk_id")], 12)
 
 
