@@ -192,31 +192,29 @@ def osa(a: Column, b: Column, most: int = 2) -> Column:
     return _arrow(lambda x, y: osa_distance(x, y, most), "int")(a, b)
 
 
-def deletions(c: Column, depth: int = 2) -> Column:
-    """All strings that up to `depth` deletions leave."""
+def _places(c: Column, last: Column) -> Column:
+    return F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
 
-    def run(s: str) -> list[str]:
-        out = {s}
-        edge = {s}
-        for _ in range(depth):
-            edge = {x[:i] + x[i + 1 :] for x in edge for i in range(len(x))}
-            out |= edge
-        return sorted(out)
 
-    return _arrow(run, "array<string>")(c)
+def deletions(c: Column, depth: int = 2) -> Column:
+    """All strings that up to `depth` deletions leave, the string itself among them."""
+    without = lambda s: F.transform(_places(s, F.length(s)), lambda i: F.concat(F.substr(s, F.lit(1), i - 1), F.substr(s, i + 1)))
+    out = edge = F.array(c)
+    for _ in range(depth):
+        edge = F.array_distinct(F.flatten(F.transform(edge, without)))
+        out = F.array_union(out, edge)
+    return F.when(c.isNotNull(), out)
 
 
 def edit_variants(c: Column) -> Column:
     """All strings of lower-case letters one edit away, transpositions included."""
-    letters = "abcdefghijklmnopqrstuvwxyz"
-
-    def run(s: str) -> list[str]:
-        cuts = [(s[:i], s[i:]) for i in range(len(s) + 1)]
-        out = {a + b[1:] for a, b in cuts if b} | {a + b[1] + b[0] + b[2:] for a, b in cuts if len(b) > 1}
-        out |= {a + x + b[1:] for a, b in cuts if b for x in letters} | {a + x + b for a, b in cuts for x in letters}
-        return sorted(out - {s})
-
-    return _arrow(run, "array<string>")(c)
+    letters = F.array(*map(F.lit, "abcdefghijklmnopqrstuvwxyz"))
+    n = F.length(c)
+    left, right = lambda i: F.substr(c, F.lit(1), i - 1), lambda i: F.substr(c, i)
+    swapped = F.transform(_places(c, n - 1), lambda i: F.concat(left(i), F.substr(c, i + 1, F.lit(1)), F.substr(c, i, F.lit(1)), right(i + 2)))
+    replaced = F.flatten(F.transform(_places(c, n), lambda i: F.transform(letters, lambda x: F.concat(left(i), x, right(i + 1)))))
+    inserted = F.flatten(F.transform(_places(c, n + 1), lambda i: F.transform(letters, lambda x: F.concat(left(i), x, right(i)))))
+    return F.array_except(F.array_distinct(F.concat(deletions(c, 1), swapped, replaced, inserted)), F.array(c))
 
 
 def blake2_bucket(c: Column, buckets: int = 4096) -> Column:

@@ -36,6 +36,24 @@ def global_rank(rows: DataFrame, order: list[Column]) -> DataFrame:
     return dealt.withColumn("rank", r).join(F.broadcast(before), "_part").withColumn("rank", F.col("rank") + F.coalesce("_before", F.lit(0))).drop("_part", "_before")
 
 
+def percentiles(rows: DataFrame, group: str, value: str, tie: str, p: float) -> DataFrame:
+    """(group, nearest_rank, interpolated, rounded_index): three definitions of a percentile of a few groups.
+
+    One sort across range partitions ranks all groups, however large, one after the other; a
+    group's own ranks start after the sizes of the groups before it.
+    """
+    ranked = global_rank(rows, [F.col(group), F.col(value), F.col(tie)])
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    k, at = F.col("rank") - F.col("_before"), (F.col("_n") - 1) * p
+    place = lambda i: F.max(F.when(k == i, F.col(value)))
+    low, high = place(F.floor(at) + 1), place(F.ceil(at) + 1)
+    return ranked.join(before, group).groupBy(group).agg(
+        place(F.greatest(F.lit(1), F.ceil(F.round(F.col("_n") * p, 9)))).alias("nearest_rank"),
+        (low + (high - low) * F.max(at - F.floor(at))).alias("interpolated"), place(1 + F.bround(at)).alias("rounded_index"),
+    )
+
+
 def risk_coverage(rows: DataFrame, score: str, tie: str, correct: str) -> DataFrame:
     """rows with rank, and the running accuracy of all at least as confident, over range partitions."""
     order = [F.desc(score), F.col(tie)]

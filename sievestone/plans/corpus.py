@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import retrieval as R
+from ..operators.evaluation import global_rank
 from ._base import query
 
 
@@ -50,15 +51,14 @@ def case_partition(t):
 
 
 @query("""
-SELECT doc_id, CASE WHEN r <= 100 THEN 'tuning' WHEN r <= 350 THEN 'evaluation' ELSE 'held' END AS part
-FROM (SELECT doc_id, row_number() OVER (ORDER BY sha256(doc_id::VARCHAR), doc_id) AS r FROM documents) WHERE r <= 500
+SELECT doc_id, CASE WHEN r <= 100 THEN 'tuning' WHEN r <= 350 THEN 'evaluation' WHEN r <= 500 THEN 'held' ELSE 'unassigned' END AS part
+FROM (SELECT doc_id, row_number() OVER (ORDER BY sha256(doc_id::VARCHAR), doc_id) AS r FROM documents)
 """)
 def partition_plan_sha(t):
-    """A plan of the first 500 ids by hash; only these are ranked, after per-task cuts."""
-    h = F.sha2(F.col("doc_id").cast("string"), 256)
-    top = t("documents").select("doc_id", h.alias("h")).orderBy("h", "doc_id").limit(500)
-    r = F.row_number().over(Window.orderBy("h", "doc_id"))
-    return top.withColumn("r", r).select("doc_id", F.when(F.col("r") <= 100, "tuning").when(F.col("r") <= 350, "evaluation").otherwise("held").alias("part"))
+    """Every document's place in a plan of 100, 250 and 150 ids in order of their hash, ranked across range partitions."""
+    ids = t("documents").select("doc_id", F.sha2(F.col("doc_id").cast("string"), 256).alias("h"))
+    r = F.col("rank")
+    return global_rank(ids, [F.col("h"), F.col("doc_id")]).select("doc_id", F.when(r <= 100, "tuning").when(r <= 350, "evaluation").when(r <= 500, "held").otherwise("unassigned").alias("part"))
 
 
 CHUNKS = """c AS (

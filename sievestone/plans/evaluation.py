@@ -88,11 +88,9 @@ def ablation_matrix(t):
 SELECT event_type, quantile_disc(value, 0.95) AS nearest_rank, round(quantile_cont(value, 0.95), 6) AS interpolated, max(value) FILTER (r = 1 + round_even((n - 1) * 0.95, 0)::BIGINT) AS rounded_index FROM r GROUP BY event_type""")
 def percentile_trio(t):
     """Three definitions that must not be confused: nearest rank, linear interpolation, rounded index."""
-    e = t("events").select("event_id", "event_type", "value")
-    r = e.withColumn("r", F.row_number().over(Window.partitionBy("event_type").orderBy("value", "event_id"))).withColumn("n", F.count("*").over(Window.partitionBy("event_type")))
-    at = r.where(F.col("r") == 1 + F.bround((F.col("n") - 1) * 0.95)).select("event_type", F.col("value").alias("rounded_index"))
-    two = e.groupBy("event_type").agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("nearest_rank"), F.round(F.expr("percentile_cont(0.95) WITHIN GROUP (ORDER BY value)"), 6).alias("interpolated"))
-    return two.join(at, "event_type")
+    e = t("events").select("event_type", "value", "event_id").where("value IS NOT NULL")
+    out = E.percentiles(e, "event_type", "value", "event_id", 0.95)
+    return out.select("event_type", "nearest_rank", F.round("interpolated", 6).alias("interpolated"), "rounded_index")
 
 
 @query("""WITH m AS (SELECT min(value) AS lo, max(value) AS hi FROM events)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import graph as G
+from ..operators.storage import cut
 from ._base import query
+from .corpus import vocabulary_topk
 from .graph import LINKS
 
 SPLIT = "CASE WHEN b < 80 THEN 'fit' WHEN b < 90 THEN 'calibration' ELSE 'selection' END"
@@ -97,20 +99,34 @@ SELECT q.q, a.n AS name, levenshtein(q.q, a.n)::BIGINT AS distance, round(1 - le
 FROM q JOIN a ON substr(q.q, 1, 1) = substr(a.n, 1, 1) AND length(a.n) BETWEEN length(q.q) - 2 AND length(q.q) + 2 WHERE levenshtein(q.q, a.n) <= 2
 """)
 def levenshtein_blocked(t):
-    """Edit distance within blocks of first letter and length band; lengths are joined by equality on an exploded band."""
+    """Edit distance of two at most, within blocks of first letter and length band.
+
+    Two edits leave one of a name's three parts whole: it stands in the question within two
+    places of where it stands in the name, so names and questions meet on parts only.
+    """
     a = t("part").select(F.col("p_name").alias("name")).distinct()
     q = a.select(F.concat(F.substring("name", 1, 3), F.expr("substring(name, 5)")).alias("q"))
-    band = q.withColumn("len", F.explode(F.sequence(F.length("q") - 2, F.length("q") + 2))).withColumn("first", F.substring("q", 1, 1))
-    pairs = a.withColumn("len", F.length("name")).withColumn("first", F.substring("name", 1, 1)).join(band, ["len", "first"])
+    third = lambda n, i: F.floor(i * n / 3).cast("int")
+    start, width = third(F.col("len"), F.col("i")), third(F.col("len"), F.col("i") + 1) - third(F.col("len"), F.col("i"))
+    thirds = F.explode(F.sequence(F.lit(0), F.lit(2)))
+    parts = a.withColumn("len", F.length("name")).withColumn("i", thirds).select("name", F.substring("name", 1, 1).alias("first"), "len", "i", F.substr("name", start + 1, width).alias("part"))
+    band = q.withColumn("len", F.explode(F.sequence(F.greatest(F.length("q") - 2, F.lit(0)), F.length("q") + 2))).withColumn("i", thirds)
+    at = band.withColumn("at", F.explode(F.sequence(F.greatest(start - 2, F.lit(0)), start + 2))).where(F.col("at") + width <= F.length("q"))
+    asked = at.select("q", F.substring("q", 1, 1).alias("first"), "len", "i", F.substr("q", F.col("at") + 1, width).alias("part")).distinct()
+    pairs = parts.join(asked, ["first", "len", "i", "part"]).select("q", "name").distinct()
     d = F.levenshtein("q", "name", 2)
     return pairs.withColumn("d", d).where("d >= 0").select("q", "name", F.col("d").cast("long").alias("distance"), F.round(1 - F.col("d") / F.greatest(F.length("q"), F.length("name")), 6).alias("similarity"))
 
 
 @query()
 def osa_correction(t):
-    """Symmetric-delete candidates verified by optimal string alignment (transpositions cost one; SQL has no such distance)."""
-    vocab = t("part").select(F.explode(F.split("p_name", " ")).alias("token")).groupBy("token").agg(F.count("*").alias("freq"))
-    ask = vocab.select(F.concat(F.substring("token", 2, 1), F.substring("token", 1, 1), F.expr("substring(token, 3)")).alias("q"))
+    """Words of the documents with their first letters swapped, corrected by the vocabulary.
+
+    Symmetric-delete candidates verified by optimal string alignment (transpositions cost one;
+    SQL has no such distance); the vocabulary is that of vocabulary_topk.
+    """
+    vocab = cut(vocabulary_topk(t).select(F.col("term").alias("token"), "freq"))
+    ask = vocab.select(F.concat(F.substring("token", 2, 1), F.substring("token", 1, 1), F.expr("substring(token, 3)")).alias("q")).distinct()
     left, right = ask.select("q", F.explode(T.deletions(F.col("q"), 1)).alias("v")), vocab.select("token", "freq", F.explode(T.deletions(F.col("token"), 1)).alias("v"))
     pairs = left.join(right, "v").select("q", "token", "freq").distinct().withColumn("distance", T.osa(F.col("q"), F.col("token")))
     w = Window.partitionBy("q").orderBy("distance", F.desc("freq"), "token")

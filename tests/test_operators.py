@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import hashlib
 import itertools
+import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from sievestone.operators import answering, vectors
+from sievestone.operators import answering, evaluation, vectors
 
 
 def test_walsh_hadamard_keeps_products(spark):
@@ -44,3 +47,35 @@ def test_long_redirect_chains_and_cycles(spark):
     got = {r.surface: (r.target, r.state, r.hops) for r in graph.resolve_redirects(spark.createDataFrame(chain, "surface string, target string"), spark.createDataFrame([("s40",)], "title string")).collect()}
     assert all(got[f"s{i}"] == ("s40", "canonical", 40 - i) for i in range(40))
     assert all(got[k][1] == "redirect_cycle" for k in "abcx") and got["lost"][1] == "missing"
+
+
+def test_code_pairs_are_all_pairs_within_three_bits_once(spark):
+    rng = random.Random(5)
+    codes = [rng.getrandbits(64) for _ in range(60)]
+    codes += [c ^ sum(1 << b for b in rng.sample(range(64), k)) for c in codes[:40] for k in (1, 3, 4)]
+    rows = [(i, c - (1 << 64) if c >> 63 else c) for i, c in enumerate(codes)]
+    got = sorted(tuple(r) for r in vectors.code_pairs(spark.createDataFrame(rows, "id long, code long"), "id").collect())
+    assert got == sorted((i, j, n) for i in range(len(codes)) for j in range(i + 1, len(codes)) if (n := (codes[i] ^ codes[j]).bit_count()) <= 3)
+
+
+def test_simhash64(spark):
+    rows = [(["a", "b", "c"],), ([],), (None,), (["a"],)]
+    heads = [int(hashlib.sha256(x.encode()).hexdigest()[:16], 16) for x in "abc"]
+    want = sum(1 << i for i in range(64) if sum(1 if h >> i & 1 else -1 for h in heads) >= 0)
+    got = [r[0] for r in spark.createDataFrame(rows, "w array<string>").select(vectors.simhash64(F.col("w"))).collect()]
+    assert [g % (1 << 64) for g in got] == [want, (1 << 64) - 1, (1 << 64) - 1, heads[0]]
+
+
+def test_query_blocks_give_what_one_block_gives(spark):
+    rng = random.Random(3)
+    e = spark.createDataFrame([(i, [rng.random() for _ in range(4)]) for i in range(40)], "vec_id long, embedding array<double>")
+    one, many = (sorted(map(tuple, vectors.top_dot(e, e.where("vec_id < 20"), 3, block=b).collect())) for b in (100, 6))
+    assert len(one) == 60 and one == many
+    assert vectors.top_dot(e, e.where("vec_id < 0"), 3).count() == 0
+
+
+def test_percentiles_of_small_and_level_groups(spark):
+    rows = [("a", 1.0, 1), ("b", 2.0, 2), ("b", 2.0, 3), *(("c", float(i), i) for i in range(100))]
+    out = {r[0]: tuple(r)[1:] for r in evaluation.percentiles(spark.createDataFrame(rows, "g string, v double, i long"), "g", "v", "i", 0.95).collect()}
+    assert out["a"] == (1.0, 1.0, 1.0) and out["b"] == (2.0, 2.0, 2.0)
+    assert out["c"] == (94.0, pytest.approx(94.05), 94.0)
