@@ -62,6 +62,35 @@ def bm25(units: DataFrame, queries: DataFrame, id_col: str, text_col: str, query
     return tf.join(df, "term").join(asked, "term").groupBy(query_id, id_col).agg(F.round(F.sum(part), 6).alias("score"))
 
 
+def weighted_bm25(units: DataFrame, queries: DataFrame, id_col: str, fields: dict[str, float], query_id: str, query_text: str, k1: float = K1, b: float = B) -> DataFrame:
+    """(query, id, score) over several columns of a unit, each with its weight.
+
+    A term's frequency is the weighted sum over columns, a unit's length that of all columns
+    together; a term in half of the units or more still counts a millionth. Units are read once, as in bm25.
+    """
+    asked = queries.select(F.col(query_id), F.explode(F.array_distinct(T.simple_tokens(F.col(query_text)))).alias("term"))
+
+    def words(column: str, weight: float) -> Column:
+        return F.transform(T.simple_tokens(F.coalesce(F.col(column), F.lit(""))), lambda x: F.struct(x.alias("term"), F.lit(float(weight)).alias("w")))
+
+    split = units.select(F.col(id_col), F.concat(*(words(c, w) for c, w in fields.items())).alias("_words"))
+    mark = F.array(F.struct(F.lit("").alias("term"), F.lit(0.0).alias("w")))
+    spread = split.select(id_col, F.size("_words").alias("len"), F.inline(F.concat("_words", mark)))
+    wanted = asked.select("term").unionByName(units.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    stored = cut(spread.join(wanted, "term", "left_semi").groupBy(id_col, "term").agg(F.sum("w").alias("tf"), F.first("len").alias("len")))
+    n, mean = stored.where("term = ''").agg(F.count("*"), F.avg("len")).first()
+    tf = stored.where("term <> ''")
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.greatest(F.lit(1e-6), F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(float(mean or 1))))
+    return tf.join(df, "term").join(asked, "term").groupBy(query_id, id_col).agg(F.round(F.sum(part), 6).alias("score"))
+
+
+def restricted(scored: DataFrame, wanted: DataFrame, group: str, item: str) -> DataFrame:
+    """The score of every wanted pair, 0 where it has none."""
+    return wanted.select(group, item).join(scored.select(group, item, "score"), [group, item], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+
+
 def top_k(scored: DataFrame, group: str | list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k of each group by a total order; Spark cuts groups before the shuffle."""
     w = Window.partitionBy(*([group] if isinstance(group, str) else group)).orderBy(*order)
