@@ -42,6 +42,13 @@ def principal_axes(t):
     return t("embeddings").sparkSession.createDataFrame(rows, "axis long, eigenvalue double, explained double")
 
 
+@query()
+def reduced_codes(t):
+    """Every vector on eight principal axes, in eight bits each."""
+    codes, _ = L.reduced_int8(t("embeddings"), 8)
+    return codes.select("vec_id", F.array_join(F.transform("codes", lambda x: x.cast("string")), ",").alias("codes"))
+
+
 @query()
 def softmax_classifier(t):
     """Labels told from vectors by a multinomial logistic model; the fit sees all labelled rows."""

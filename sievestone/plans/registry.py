@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import addressing, answering, beliefs, claims, corpus, evaluation, extraction, framing, graph, learning, linking, retrieval, selection, streams, vectors  # noqa: F401
+from . import addressing, answering, beliefs, claims, corpus, evaluation, extraction, framing, graph, learning, linking, retrieval, routing, selection, streams, vectors  # noqa: F401
 from ._base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
