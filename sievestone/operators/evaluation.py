@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import cut
+
 
 def ece_bins(rows: DataFrame, score: str, label: str, bins: int = 10) -> DataFrame:
     """(bin, n, mean_score, accuracy): equal width, the last bin closed."""
@@ -24,12 +26,21 @@ def equal_frequency_bins(rows: DataFrame, score: str, tie: str, label: str, bins
     return ranked.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.max(score).alias("upper"), F.avg(F.col(label).cast("double")).alias("accuracy"))
 
 
+def dealt_by_range(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """rows with _part, the range that holds them, stored.
+
+    Ranges are drawn from a sample and then merged, both anew for every plan that reads them,
+    so sizes and rows that are to agree must come from the same stored deal.
+    """
+    return cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+
+
 def global_rank(rows: DataFrame, order: list[Column]) -> DataFrame:
     """rows with rank, from 1, in a total order: ranks within range partitions plus the sizes of those before.
 
     The only thing gathered is one count per partition.
     """
-    dealt = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    dealt = dealt_by_range(rows, order)
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).alias("_before"))
     r = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
@@ -57,7 +68,7 @@ def percentiles(rows: DataFrame, group: str, value: str, tie: str, p: float) ->
 def risk_coverage(rows: DataFrame, score: str, tie: str, correct: str) -> DataFrame:
     """rows with rank, and the running accuracy of all at least as confident, over range partitions."""
     order = [F.desc(score), F.col(tie)]
-    ranked = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    ranked = dealt_by_range(rows, order)
     sizes = ranked.groupBy("_part").agg(F.count("*").alias("_n"), F.sum(F.col(correct).cast("long")).alias("_c"))
     w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_c0"))

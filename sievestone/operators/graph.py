@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .evaluation import dealt_by_range
 from .storage import cut
 
 
@@ -108,7 +109,7 @@ def shard_components(labelled: DataFrame, shards: int) -> DataFrame:
 
     A component's place is its rank in a range-partitioned sort, so no single task ranks them all.
     """
-    parts = labelled.select("component").distinct().repartitionByRange("component").sortWithinPartitions("component").withColumn("part", F.spark_partition_id())
+    parts = dealt_by_range(labelled.select("component").distinct(), [F.col("component")]).withColumnRenamed("_part", "part")
     sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.select(F.col("part").alias("p"), F.col("n").alias("m")).join(sizes.select("part"), F.col("p") < F.col("part"), "right").groupBy("part").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("before"))
     placed = parts.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("component"))).join(before, "part").select("component", ((F.col("before") + F.col("r") - 1) % shards).alias("shard"))

@@ -79,3 +79,20 @@ def test_percentiles_of_small_and_level_groups(spark):
     out = {r[0]: tuple(r)[1:] for r in evaluation.percentiles(spark.createDataFrame(rows, "g string, v double, i long"), "g", "v", "i", 0.95).collect()}
     assert out["a"] == (1.0, 1.0, 1.0) and out["b"] == (2.0, 2.0, 2.0)
     assert out["c"] == (94.0, pytest.approx(94.05), 94.0)
+
+
+@pytest.fixture
+def merged_differently(spark):
+    """Small partitions, which Spark merges as their bytes tell: narrow and wide reads of one deal differ."""
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    was = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield spark.range(5000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("wide"), (F.col("id") % 3 == 0).alias("ok"), (F.col("id") / 5000).alias("score")).repartition(7)
+    for k, v in was.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_ranks_across_ranges_have_no_gap(merged_differently):
+    got = evaluation.global_rank(merged_differently, [F.col("id")]).select("id", "rank", "wide").collect()
+    assert sorted((r.id, r.rank) for r in got) == [(i, i + 1) for i in range(5000)]
