@@ -66,9 +66,28 @@ def content_tokens(c: Column) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """Runs of n tokens, joined by a blank, in order."""
-    last = F.size(tokens) - (n - 1)
-    return F.when(last < 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " ")))
+    """Runs of n tokens, joined by a blank, in order; none where the tokens are null.
+
+    The tokens are bound once: named inside the inner lambda, their expression would be evaluated for every run.
+    """
+
+    def runs(w: Column) -> Column:
+        last = F.coalesce(F.size(w), F.lit(0)) - (n - 1)
+        return F.when(last < 1, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " ")))
+
+    return F.flatten(F.transform(F.array(tokens), runs))
+
+
+def occurrences(values: Column) -> Column:
+    """array<struct<value, n>> of the distinct values of an array without nulls, counted between the edges of its sorted form."""
+
+    def count(s: Column) -> Column:
+        last = F.size(s) - 1
+        edges = F.when(last < 0, F.array().cast("array<int>")).otherwise(F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1))))
+        of = lambda e: F.transform(e, lambda at, i: F.struct(F.get(s, at).alias("value"), (F.coalesce(F.get(e, i + 1), last + 1) - at).cast("long").alias("n")))
+        return F.flatten(F.transform(F.array(edges), of))
+
+    return F.flatten(F.transform(F.array(F.sort_array(values)), count))
 
 
 def char_ngrams(c: Column, n: int = 3, left: str = "^", right: str = "$") -> Column:

@@ -33,6 +33,20 @@ def term_counts(units: DataFrame, id_col: str, text_col: str, tokens=T.simple_to
     return units.select(F.col(id_col), F.explode(tokens(F.col(text_col))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
 
 
+def gram_counts(units: DataFrame, id_col: str, text_col: str, n: int, tokens=T.simple_tokens) -> DataFrame:
+    """(term, id, tf) of runs of n tokens, counted inside each text, so that grams are not shuffled.
+
+    Only ids that stand on several rows are added up over rows.
+    """
+    each = lambda df: df.select(F.col(id_col), F.explode(T.occurrences(T.ngrams(tokens(F.col(text_col)), n))).alias("_g")).select(F.col("_g.value").alias("term"), id_col, F.col("_g.n").alias("tf"))
+    units = units.select(id_col, text_col)
+    again = cut(units.groupBy(id_col).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(id_col).alias("_id")))
+    if again.isEmpty():
+        return each(units)
+    same = F.col(id_col).eqNullSafe(F.col("_id"))
+    return each(units.join(again, same, "left_anti")).unionByName(each(units.join(again, same, "left_semi")).groupBy("term", id_col).agg(F.sum("tf").alias("tf")))
+
+
 def postings(units: DataFrame, id_col: str, terms: Column) -> DataFrame:
     """term -> sorted ids. For display and export: hot terms' lists grow with the corpus, joins use term_counts."""
     return units.select(F.col(id_col), F.explode(F.array_distinct(terms)).alias("term")).groupBy("term").agg(F.array_sort(F.collect_set(id_col)).alias("ids"), F.countDistinct(id_col).alias("df"))

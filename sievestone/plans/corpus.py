@@ -98,8 +98,7 @@ SELECT term, doc_id, count(*) AS tf FROM b GROUP BY ALL
 """)
 def bigram_postings(t):
     """A row a posting, so that no bigram's documents gather in one row."""
-    grams = T.ngrams(T.simple_tokens(F.col("text")), 2)
-    return t("documents").select("doc_id", F.explode(grams).alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    return R.gram_counts(t("documents"), "doc_id", "text", 2)
 
 
 @query("""

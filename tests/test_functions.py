@@ -58,3 +58,24 @@ def test_align():
     assert T.align("two two", "two") is None
     assert T.align("say “hello  there” now", '"hello there"') == (4, 18)
     assert T.align("abc", "x") is None
+
+
+def test_grams_counted_inside_texts(spark):
+    import time
+    from collections import Counter
+
+    from sievestone.operators import retrieval
+
+    long = " ".join(f"w{i * i % 997}" for i in range(20_000))
+    rows = [(1, "a b a b a"), (2, "One"), (3, None), (4, ""), (5, "a b"), (5, "b a b"), (None, "x y"), (None, "X y z"), (6, long)]
+    want: Counter = Counter()
+    for i, s in rows:
+        w = (s or "").lower().split()
+        want.update((f"{x} {y}", i) for x, y in zip(w, w[1:], strict=False))
+    for held in (rows, [r for r in rows if r[0] not in (5, None)]):
+        df = spark.createDataFrame(held, "doc_id long, text string")
+        began = time.time()
+        got = [tuple(r) for r in retrieval.gram_counts(df, "doc_id", "text", 2).collect()]
+        assert time.time() - began < 20  # tokens were split anew for every gram of a text
+        ids = {i for i, _ in held}
+        assert len(got) == len({x[:2] for x in got}) and {x[:2]: x[2] for x in got} == {k: n for k, n in want.items() if k[1] in ids}
