@@ -37,15 +37,22 @@ def sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 hour") -> D
 
 
 def _remember(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """A key's events come in several frames, in no order over frames; only what can end the sorted whole is held between them."""
     types, stalls, last = state.get if state.exists else ("", 0, "")
     recent = [x for x in types.split(",") if x]
-    n = 0
+    n, run, tail = 0, 0, None
     for pdf in parts:
-        for kind in pdf.sort_values(["ts", "event_id"])["event_type"]:
-            stalls = stalls + 1 if kind == last else 0
-            last = kind
-            recent = (recent + [kind])[-MOST_RECENT:]
-            n += 1
+        if len(pdf):
+            n += len(pdf)
+            held = pdf[["ts", "event_id", "event_type"]]
+            tail = (held if tail is None else pd.concat([tail, held])).sort_values(["ts", "event_id"])
+            other = (tail["event_type"] != tail["event_type"].iloc[-1]).to_numpy().nonzero()[0]
+            run = len(tail) - 1 - other[-1] if len(other) else len(tail)
+            tail = tail.iloc[-max(run + 1, MOST_RECENT) :]  # the event before the run too: it bounds what later frames can add
+    if n:
+        kind = tail["event_type"].iloc[-1]
+        stalls = int(stalls + run if run == n and kind == last else run - 1)
+        last, recent = kind, (recent + tail["event_type"].tolist())[-MOST_RECENT:]
     state.update((",".join(recent), stalls, last))
     yield pd.DataFrame({"user_id": [key[0]], "recent": [",".join(recent)], "stalls": [stalls], "n": [n]})
 

@@ -86,3 +86,24 @@ def test_graph(spark):
 def test_isotonic(spark):
     b = spark.createDataFrame([(0, 0.1, 2), (1, 0.5, 1), (2, 0.2, 1), (3, 0.9, 4)], "bin long, accuracy double, n long")
     assert [round(r.fitted, 3) for r in evaluation.isotonic(b, "bin", "accuracy", "n").orderBy("bin").collect()] == [0.1, 0.35, 0.35, 0.9]
+
+
+def test_sessions_of_many_frames_go_by_time(spark, tmp_path):
+    """A user's events of one batch come in several frames when they are more than a batch holds."""
+    import random
+
+    from sievestone.streaming import events
+
+    rng = random.Random(9)
+    rows = [(i, 1_700_000_000 + i // 2, u, "abc"[rng.randrange(3)] if i < 2900 or u else "a") for u in (0, 1) for i in range(3000)]
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, "event_id long, at long, user_id long, event_type string").selectExpr("event_id", "timestamp_seconds(at) AS ts", "user_id", "event_type").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, 100)
+    got = {r.user_id: (r.recent, r.stalls, r.n) for r in events.run_to_table(events.bounded_sessions(events.read_events(spark, str(tmp_path))), f"{tmp_path}/out", f"{tmp_path}/state", "update").collect()}
+    spark.conf.set(key, was)
+    for u in (0, 1):
+        kinds = [r[3] for r in sorted(rows) if r[2] == u]
+        run = next((k for k, x in enumerate(reversed(kinds)) if x != kinds[-1]), len(kinds))
+        assert got[u] == (",".join(kinds[-16:]), run - 1, 3000)
