@@ -113,3 +113,8 @@ def test_token_set_heads_meet_for_every_near_pair(spark):
     got = [tuple(r) for r in vectors.head_pairs(heads).collect()]
     want = {(i, j) for s, i in first.items() for r, j in first.items() if i < j and 10 * len(s & r) >= 9 * len(s | r)}
     assert len(want) > 60 and want <= set(got) and len(got) == len(set(got))
+
+
+def test_equal_frequency_bins_hold_every_tenth(merged_differently):
+    got = sorted(tuple(r)[:3] for r in evaluation.equal_frequency_bins(merged_differently, "score", "id", "ok").collect())
+    assert got == [(b, 500, pytest.approx((500 * b + 499) / 5000)) for b in range(10)]
