@@ -51,10 +51,13 @@ def reduced_codes(t):
 
 @query()
 def softmax_classifier(t):
-    """Labels told from vectors by a multinomial logistic model; the fit sees all labelled rows."""
+    """Labels told from vectors by a multinomial logistic model; the fit sees all labelled rows. A class is a label that a vector has."""
     e = t("embeddings")
-    classes = (e.agg(F.max("label")).first()[0] or 0) + 1
-    out = L.predict(e, L.fit_softmax(e, "embedding", "label", classes, iterations=40), "vec_id", "embedding")
+    labels = sorted(r["label"] for r in e.where("embedding IS NOT NULL AND label IS NOT NULL").select("label").distinct().collect())
+    known = F.array(*map(F.lit, labels)).cast("array<long>")
+    placed = e.where("label IS NOT NULL").withColumn("label", F.array_position(known, F.col("label").cast("long")) - 1)
+    out = L.predict(e, L.fit_softmax(placed, "embedding", "label", len(labels), iterations=40), "vec_id", "embedding")
+    out = out.withColumn("predicted", F.get(known, F.col("predicted").cast("int")))
     return out.join(e.select("vec_id", "label"), "vec_id").select("vec_id", "predicted", F.round("confidence", 6).alias("confidence"), (F.col("predicted") == F.col("label")).alias("correct"))
 
 
