@@ -17,6 +17,16 @@ def cases(t):
     return t("labels").join(d, "doc_id").withColumn("correct", (F.col("quality") == 1) & (F.col("toxic") == 0))
 
 
+def rounded(name: str, places: int = 6):
+    """A column of doubles as the SQL rounds them: scaled, rounded to a whole number, scaled back.
+
+    F.round goes by a double's decimal digits instead and differs where those end in a 5 just
+    past the last place: 41 / 640 is 0.0640625, but its double times a million is below 64062.5.
+    """
+    scale = F.lit(10.0**places)
+    return (F.round(F.col(name) * scale) / scale).alias(name)
+
+
 @query(f"""WITH {CASES} SELECT least(9, floor(score * 10))::BIGINT AS bin, count(*) AS n, round(avg(score), 6) AS mean_score, round(avg(correct::INT), 6) AS accuracy FROM x GROUP BY 1""")
 def ece_bins(t):
     return E.ece_bins(cases(t), "score", "correct").select("bin", "n", F.round("mean_score", 6).alias("mean_score"), F.round("accuracy", 6).alias("accuracy"))
@@ -48,7 +58,7 @@ def risk_at_thresholds(t):
 @query(f"""WITH {CASES}, r AS (SELECT *, ceil(row_number() OVER (ORDER BY score, doc_id) * 10.0 / (SELECT count(*) FROM x))::BIGINT - 1 AS bin FROM x)
 SELECT bin, count(*) AS n, round(max(score), 6) AS upper, round(avg(correct::INT), 6) AS accuracy FROM r GROUP BY bin""")
 def equal_freq_bins(t):
-    return E.equal_frequency_bins(cases(t), "score", "doc_id", "correct").select("bin", "n", F.round("upper", 6).alias("upper"), F.round("accuracy", 6).alias("accuracy"))
+    return E.equal_frequency_bins(cases(t), "score", "doc_id", "correct").select("bin", "n", rounded("upper"), rounded("accuracy"))
 
 
 @query()
